@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import boilerplate_lines, encode, repetition
+from lexigrid.llm import boilerplate_lines, encode, lookalike, repetition
 from lexigrid.session import table
 
 
@@ -27,6 +27,10 @@ def p6_shares(spark, sf):
     return repetition.measure(table(spark, sf, "generated_texts"))
 
 
+def p7_found(spark, sf):
+    return lookalike.found(table(spark, sf, "voicelines"), table(spark, sf, "patchnote_corpus"))
+
+
 def p8_ids(spark, sf):
     return encode.encode(table(spark, sf, "documents"))
 
