@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import boilerplate_lines, encode, lookalike, repetition
+from pyspark.sql import functions as F
+
+from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, repetition
 from lexigrid.session import table
 
 
@@ -19,6 +21,36 @@ def p1_sequences(spark, sf):
     return patterns.withColumnRenamed("source", "game")
 
 
+def url_host(url):
+    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
+
+
+def markup_texts(spark, sf):
+    """(text_id, host, text) of the clean texts and of the text files of the manifest; text_id is field, tab, key."""
+    corpus = table(spark, sf, "patchnote_corpus")
+    a = corpus.select(F.concat(F.lit("clean_text\t"), "document_id").alias("text_id"), url_host("url").alias("host"), F.col("clean_text").alias("text"))
+    paths = table(spark, sf, "page_manifest").where("text_path IS NOT NULL").groupBy("text_path").agg(F.min(url_host("url")).alias("host"))
+    files = table(spark, sf, "page_files").select(F.col("path").alias("text_path"), F.col("content").alias("text"))
+    b = paths.join(files, "text_path").select(F.concat(F.lit("text_path\t"), "text_path").alias("text_id"), "host", "text")
+    return a.unionByName(b).where(F.col("text").isNotNull()).dropDuplicates(["text_id", "text"])
+
+
+def _split_id(df, *more):
+    return df.select(F.substring_index("text_id", "\t", 1).alias("field"), F.expr("substring(text_id, instr(text_id, '\t') + 1)").alias("record_key"), *more)
+
+
+def p3_found(spark, sf):
+    return _split_id(markup.found(markup_texts(spark, sf)), "markup").distinct()
+
+
+def p3_clean(spark, sf):
+    return _split_id(markup.cleaned(markup_texts(spark, sf)), "clean_text")
+
+
+def p3_template(spark, sf):
+    return markup.template(markup.occurrences(markup_texts(spark, sf)))
+
+
 def p6_found(spark, sf):
     return repetition.found(table(spark, sf, "generated_texts"))
 
