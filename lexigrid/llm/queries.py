@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, repetition
+from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, page_body, repetition
 from lexigrid.session import table
 
 
@@ -51,6 +51,26 @@ def p3_template(spark, sf):
     return markup.template(markup.occurrences(markup_texts(spark, sf)))
 
 
+def rendered_documents(spark, sf):
+    """(document_id, host, text, content) of the rendered documents with their pages; each once."""
+    docs = table(spark, sf, "patchnote_corpus").where("source_kind = 'rendered_html'")
+    docs = docs.select("document_id", url_host("url").alias("host"), F.col("clean_text").alias("text"), F.col("relative_source_path").alias("path")).dropDuplicates()
+    return docs.join(table(spark, sf, "page_files").select("path", "content"), "path", "left").drop("path")
+
+
+def p5_found(spark, sf):
+    return page_body.found(rendered_documents(spark, sf))
+
+
+def p5_bodies(spark, sf):
+    return page_body.bodies(rendered_documents(spark, sf))
+
+
+def p5_pages(spark, sf):
+    paths = table(spark, sf, "scrape_results").where("raw_html_path IS NOT NULL").select(F.col("raw_html_path").alias("path")).distinct()
+    return page_body.page_bodies(paths.join(table(spark, sf, "page_files").select("path", "content"), "path")).withColumnRenamed("path", "raw_html_path")
+
+
 def p6_found(spark, sf):
     return repetition.found(table(spark, sf, "generated_texts"))
 
