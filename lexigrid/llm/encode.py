@@ -124,15 +124,25 @@ class Replay:
             known[w] = out
         return known
 
-    def encode_batch(self, texts) -> list[list[int]]:
-        """The ids of each text; null and empty texts have the empty list."""
+    def _cut(self, texts) -> list[list[str]]:
+        """The words of each text, all of them known afterwards."""
         cut = [self.split.findall(t) if isinstance(t, str) and t else [] for t in texts]
         new = list({w for ws in cut for w in ws if w not in self.cache})
         if len(self.cache) + len(new) > KEEP_WORDS:
             self.cache = {}
             new = list({w for ws in cut for w in ws})
         self.cache |= self.encode_words(new)
-        return [[i for w in ws for i in self.cache[w]] for ws in cut]
+        return cut
+
+    def encode_batch(self, texts) -> list[list[int]]:
+        """The ids of each text; null and empty texts have the empty list."""
+        return [[i for w in ws for i in self.cache[w]] for ws in self._cut(texts)]
+
+    def count_batch(self, texts) -> list[int]:
+        """The number of tokens of each text."""
+        cut = self._cut(texts)
+        size = {w: len(self.cache[w]) for w in {w for ws in cut for w in ws}}
+        return [sum([size[w] for w in ws]) for ws in cut]
 
 
 _LOADED: dict[str, Replay] = {}
@@ -165,6 +175,6 @@ def count_udf(tokenizer=TOKENIZER, path: str | None = None):
 
     @F.pandas_udf(T.LongType())
     def n_tokens(col: pd.Series) -> pd.Series:
-        return pd.Series([len(x) for x in replay(path).encode_batch(col)], index=col.index, dtype="int64")
+        return pd.Series(replay(path).count_batch(col), index=col.index, dtype="int64")
 
     return n_tokens

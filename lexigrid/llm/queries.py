@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, page_body, repetition
+from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, mixture, page_body, repetition, token_budget
 from lexigrid.session import table
 
 
@@ -21,6 +21,19 @@ def p1_sequences(spark, sf):
     return patterns.withColumnRenamed("source", "game")
 
 
+def p2_token_budget(spark, sf):
+    return token_budget.budget(table(spark, sf, "annotation_items"), table(spark, sf, "sites"))
+
+
+def p2_update(spark, sf):
+    """The signed delta of a second update: the same items, now with the text around each target."""
+    items, sites = table(spark, sf, "annotation_items"), table(spark, sf, "sites")
+    ledger = token_budget.Ledger(spark)
+    ledger.update(token_budget.items(items, sites))
+    wider = items.withColumn("wider", F.concat_ws("\n", "context_before", "target_text", "context_after"))
+    return ledger.update(token_budget.items(wider, sites, "wider"))
+
+
 def url_host(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
 
@@ -87,6 +100,14 @@ def p8_ids(spark, sf):
     return encode.encode(table(spark, sf, "documents"))
 
 
+def p9_mix(spark, sf):
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[0]
+
+
+def p9_shares(spark, sf):
+    return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
