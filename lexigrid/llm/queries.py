@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexigrid.llm import boilerplate_lines, encode, lookalike, markup, mixture, page_body, repetition, token_budget
+from lexigrid.llm import boilerplate_lines, encode, language, lookalike, markup, mixture, page_body, repetition, token_budget
 from lexigrid.session import table
 
 
@@ -108,6 +108,18 @@ def p9_shares(spark, sf):
     return mixture.mix(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))[1]
 
 
+def p10_found(spark, sf):
+    return language.found(table(spark, sf, "documents"))
+
+
+def p10_languages(spark, sf):
+    return language.languages(table(spark, sf, "documents"))
+
+
+def p10_passages(spark, sf):
+    return language.passages(table(spark, sf, "documents"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
