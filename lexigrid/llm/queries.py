@@ -21,6 +21,10 @@ def p1_sequences(spark, sf):
     return patterns.withColumnRenamed("source", "game")
 
 
+def p2_item_counts(spark, sf):
+    return token_budget.item_counts(table(spark, sf, "annotation_items"), table(spark, sf, "sites"))
+
+
 def p2_token_budget(spark, sf):
     return token_budget.budget(table(spark, sf, "annotation_items"), table(spark, sf, "sites"))
 

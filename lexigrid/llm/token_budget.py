@@ -140,3 +140,12 @@ def budget(annotation_items: DataFrame, sites: DataFrame, folder: str | None = N
     ledger = Ledger(annotation_items.sparkSession, folder, tokenizer)
     ledger.update(items(annotation_items, sites))
     return totals(ledger.cube())
+
+
+def item_counts(annotation_items: DataFrame, sites: DataFrame, folder: str | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(item_id, game, site_lang, site_host, empty, n_tokens) of each item after one update of the ledger."""
+    ledger = Ledger(annotation_items.sparkSession, folder, tokenizer)
+    ledger.update(items(annotation_items, sites))
+    now = ledger.version()
+    state = ledger._read("state", now).join(ledger.counts(now), "hash", "left")
+    return state.select(F.col("key").alias("item_id"), *DIMS, "empty", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))

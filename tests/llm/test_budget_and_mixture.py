@@ -33,6 +33,12 @@ def test_budget_against_brute_force(spark, sf, n_tokens):
     assert {k: v for k, v in got.items() if k[0] in ("cell", "game", "all")} == want
 
 
+def test_item_counts(spark, sf, n_tokens):
+    items, sites = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("annotation_items", "sites"))
+    want = sorted({(r.item_id, r.game, n_tokens(r.target_text), not (r.target_text or "").strip()) for r in items.collect()})
+    assert sorted((r.item_id, r.game, r.n_tokens, r.empty) for r in B.item_counts(items, sites).collect()) == want
+
+
 def test_updates_with_removed_and_changed_documents(spark, tmp_path, n_tokens):
     sites = spark.createDataFrame([("a.b", "g", "en")], "site_host string, game string, site_lang string")
     one = [("1", "g", "http://a.b/x", "one two", "h"), ("2", "g", "http://a.b/y", "gone soon", "h"), ("3", "g", None, None, "h"), ("4", None, "http://z.z", "other words here", "h"), ("1", "g", "http://a.b/x", "one two", "h")]
