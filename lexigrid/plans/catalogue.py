@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profile", "timestamps")
+MODULES = ("profile", "corpus", "timestamps")
 
 
 def _modules():
