@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 WS = r"[\t-\r\x{85}\p{Z}]+"
+ENDS = r"^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$"
 WORD = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)?"
 LM_TOKEN = r"[A-Za-z0-9]+(?:['’\-][A-Za-z0-9]+)*|[.!?,;:]"
 PROFILE_TOKEN = r"[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*|[^\s\p{Z}\p{L}\p{N}]"
@@ -71,15 +72,20 @@ def sentences(c) -> Column:
     return F.filter(F.transform(F.split(F.regexp_replace(t, SENTENCE_CUT, "$1\u0001$2"), "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def strip(c) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, ENDS, "")
+
+
 def meta(c) -> Column:
     """A metadata value: null, blank and words for no value become ''."""
-    t = F.trim(F.coalesce(c, F.lit("")))
+    t = strip(F.coalesce(c, F.lit("")))
     return F.when(F.lower(t).isin(*NO_VALUE), "").otherwise(t)
 
 
 def clean_meta(c) -> Column:
     """meta() without a table prefix `|-|`."""
-    return F.trim(F.regexp_replace(meta(c), r"^\|-\|\s*", ""))
+    return strip(F.regexp_replace(meta(c), r"^\|-\|\s*", ""))
 
 
 def first_value(*cols) -> Column:
