@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as _html
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 WS = r"[\t-\r\x{85}\p{Z}]+"
 ENDS = r"^[\t-\r\x{85}\p{Z}]+|[\t-\r\x{85}\p{Z}]+$"
@@ -93,7 +93,7 @@ def first_value(*cols) -> Column:
     return F.coalesce(*[F.nullif(meta(c), F.lit("")) for c in cols], F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(col: pd.Series) -> pd.Series:
     """Character references as characters; only texts with an ampersand reach this function."""
     return col.map(lambda t: _html.unescape(t) if isinstance(t, str) else t)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profile", "corpus", "ngram", "timestamps")
+MODULES = ("profile", "corpus", "ngram", "annotation", "timestamps")
 
 
 def _modules():
