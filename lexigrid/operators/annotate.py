@@ -113,4 +113,9 @@ def annotate(items: DataFrame, annotator: Callable, schema: str, batch_size: int
 
     b = sampling.batches(items, batch_size, seed, "item_id")
     names = [f.split()[0] for f in schema.split(", ")]
-    return b.groupBy("batch_no").applyInPandas(lambda pdf: run(pdf).reindex(columns=names), schema)
+
+    def framed(pdf):
+        out = run(pdf).reindex(columns=names).astype(object)
+        return out.where(out.notna(), None)
+
+    return b.groupBy("batch_no").applyInPandas(framed, schema)
