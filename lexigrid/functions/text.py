@@ -117,6 +117,29 @@ def clean_line(c) -> Column:
     return squeeze(t)
 
 
+def clean_each(lines) -> Column:
+    """clean_line() for an array of lines; each step only runs on the lines that hold its sign."""
+
+    def step(a, test, f):
+        return F.transform(a, lambda x: F.when(test(x), f(x)).otherwise(x))
+
+    has = lambda *signs: lambda x: _any([F.contains(x, F.lit(s)) for s in signs])
+    a = step(lines, has("]("), lambda x: F.regexp_replace(F.regexp_replace(x, MD_IMAGE, ""), MD_LINK, "$1"))
+    a = step(a, has("://"), lambda x: F.regexp_replace(x, URL, ""))
+    a = step(a, has("<"), lambda x: F.regexp_replace(x, TAG, " "))
+    a = step(a, has("&"), unescaped)
+    a = step(a, has("-", "*", "•"), lambda x: F.regexp_replace(x, BULLET, ""))
+    a = step(a, has("⇒", "→", "⟶", "⟹", "=>", "->"), lambda x: F.regexp_replace(x, ANY_ARROW, " → "))
+    return F.transform(a, squeeze)
+
+
+def _any(conditions) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
 def year_of(*cols) -> Column:
     """The first 19xx or 20xx in the first value that holds one."""
     return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(c.cast("string"), F.lit("")), YEAR, 1), F.lit("")) for c in cols]).cast("int")

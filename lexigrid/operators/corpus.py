@@ -51,11 +51,11 @@ UNIT_TYPES = ("context_only_short_unit", "stat_or_list_line", "prose_sentence")
 
 def clean_lines(text: Column, noise=NOISE_LINES) -> Column:
     """The cleaned lines of a text: image lines and furniture dropped, of equal neighbours only the first kept."""
-    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: ~x.rlike(X.MD_IMAGE))
-    lines = F.transform(raw, X.clean_line)
+    raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: ~(F.contains(x, F.lit("![")) & x.rlike(X.MD_IMAGE)))
+    lines = X.clean_each(raw)
     bare = lambda x: F.lower(F.regexp_replace(x, r"^[# \-*•\t]+|[# \-*•\t]+$", ""))
-    lines = F.filter(lines, lambda x: (x != "") & ~bare(x).isin(*noise) & (bare(x) != ""))
-    return lines
+    longest = max(map(len, noise), default=0) + 8  # longer lines are no furniture, and marks alone are seen without a copy
+    return F.filter(lines, lambda x: x.rlike(r"[^# \-*•\t]") & ((F.length(x) > longest) | ~bare(x).isin(*noise)))
 
 
 def without_repeats(lines: Column) -> Column:
@@ -70,9 +70,10 @@ def build(texts: DataFrame, min_words: int = 20, order: str = "document_id") ->
     keep = ["document_id", "game", "source_kind", "patch_id", "year", "title", "url"]
     t = texts.select(*keep, clean_lines(F.col("clean_text")).alias("lines")).withColumn("lines", without_repeats(F.col("lines")))
     t = t.withColumn("clean_text", F.array_join("lines", "\n")).withColumn("line_count", F.size("lines").cast("bigint")).drop("lines")
-    t = t.withColumn("word_count", X.word_count(F.col("clean_text"))).where(F.col("word_count") >= min_words).withColumn("text_sha256", F.sha2("clean_text", 256))
+    t = t.withColumn("word_count", X.word_count(F.col("clean_text"))).withColumn("text_sha256", F.sha2("clean_text", 256))
     first = Window.partitionBy("text_sha256").orderBy(order, "game", "patch_id", "title")
-    return t.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    # short texts go last: before the window the planner would clean each text a second time to filter it
+    return t.withColumn("__n", F.row_number().over(first)).where((F.col("__n") == 1) & (F.col("word_count") >= min_words)).drop("__n")
 
 
 def summary(corpus: DataFrame) -> DataFrame:

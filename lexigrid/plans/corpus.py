@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from lexigrid.functions import text as X
 from lexigrid.operators import corpus as C
 from lexigrid.plans.profile import q
-from lexigrid.session import table
+from lexigrid.session import table, wide
 
 
 def documents(spark, sf):
     """Each document once (some rows are delivered twice)."""
-    return table(spark, sf, "patchnote_corpus").dropDuplicates(["document_id", "text_sha256"])
+    return wide(spark, sf, "patchnote_corpus", "document_id").dropDuplicates(["document_id", "text_sha256"])
 
 
 def corpus_build(spark, sf):

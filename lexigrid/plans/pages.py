@@ -9,11 +9,11 @@ from lexigrid.operators import hydrate as H, pages as P, topics as K
 from lexigrid.operators.corpus import NOISE_LINES
 from lexigrid.plans.corpus import squeeze, unescaped
 from lexigrid.plans.profile import STOP, q
-from lexigrid.session import cut, table
+from lexigrid.session import cut, table, wide
 
 
 def html(spark, sf):
-    return table(spark, sf, "page_files").where("path LIKE '%.html'")
+    return wide(spark, sf, "page_files", "path").where("path LIKE '%.html'")
 
 
 def html_leaf_blocks(spark, sf):
@@ -51,7 +51,7 @@ def url_classify(spark, sf):
 
 
 def page_context_score(spark, sf):
-    d = table(spark, sf, "patchnote_corpus").dropDuplicates(["document_id", "text_sha256"])
+    d = wide(spark, sf, "patchnote_corpus", "document_id").dropDuplicates(["document_id", "text_sha256"])
     return d.select("document_id", P.context_score(F.col("title"), F.col("clean_text")).alias("s")).select("document_id", "s.*")
 
 
@@ -116,7 +116,7 @@ def hydrate_prepare(spark, sf):
 
 
 def bow_vocabulary(spark, sf):
-    return K.vocabulary(table(spark, sf, "documents"), "doc_id", "text")
+    return K.vocabulary(wide(spark, sf, "documents"), "doc_id", "text")
 
 
 def label_distribution(spark, sf):

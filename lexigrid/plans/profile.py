@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lexigrid.functions import text as X
 from lexigrid.operators import profile
-from lexigrid.session import table
+from lexigrid.session import wide
 
 #: A small lexicon for the query and the tests.
 LEXICON = [("good", 1.9), ("happy", 2.7), ("fair", 1.3), ("kinder", 2.0), ("strong", 2.3), ("safe", 1.9), ("promised", 1.3), ("unfair", -2.1), ("confusing", -0.9), ("weak", -1.9), ("crash", -1.7), ("rare", -0.3), ("problem", -1.7), ("fehler", -1.5), ("slow", -1.0)]
@@ -12,22 +12,22 @@ METRICS = ("avg_tokens_per_text", "mean_ttr", "avg_sent_len", "function_word_pct
 
 
 def profile_descriptors(spark, sf):
-    return profile.descriptors(table(spark, sf, "documents"))
+    return profile.descriptors(wide(spark, sf, "documents"))
 
 
 def profile_metric_long(spark, sf):
-    return profile.metric_long(profile.descriptors(table(spark, sf, "documents")), METRICS)
+    return profile.metric_long(profile.descriptors(wide(spark, sf, "documents")), METRICS)
 
 
 def profile_top_tokens(spark, sf):
-    return profile.top_tokens(table(spark, sf, "documents"))
+    return profile.top_tokens(wide(spark, sf, "documents"))
 
 
 def profile_sentiment(spark, sf):
     from pyspark.sql import functions as F
 
     lex = spark.createDataFrame(LEXICON, "token string, weight double")
-    s = profile.sentiment(table(spark, sf, "documents"), lex, "doc_id")
+    s = profile.sentiment(wide(spark, sf, "documents"), lex, "doc_id")
     return s.select(F.col("key").alias("doc_id"), "genre", *[F.round(c, 6).alias(c) for c in ("compound", "intensity", "sent_mean", "sent_intensity_mean", "sent_std", "sent_min", "sent_max")])
 
 
@@ -38,7 +38,7 @@ def profile_sentiment_groups(spark, sf):
 
 
 def profile_entities(spark, sf):
-    return profile.entities(table(spark, sf, "documents"))
+    return profile.entities(wide(spark, sf, "documents"))
 
 
 def queries() -> dict:

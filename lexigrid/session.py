@@ -46,7 +46,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of (compressed) input that one task of a text stage should take.
+TASK_BYTES = 64 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a plan reads, as the planner knows them; unknown sources count as 0."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def spread(df: DataFrame, *keys) -> DataFrame:
-    """Rows over twice the cluster's cores (for Python stages over few input files)."""
-    n = 2 * max(4, df.sparkSession.sparkContext.defaultParallelism)
-    return df.repartition(n, *keys)
+    """Rows over enough tasks for an expensive stage.
+
+    A scan that is wide enough stays as it is, without a shuffle; a narrow one (few small files) is spread over
+    twice the cores, a large plan over tasks of TASK_BYTES of input.
+    """
+    least = 2 * max(4, df.sparkSession.sparkContext.defaultParallelism)
+    size = input_bytes(df)
+    if not keys and size // (128 << 20) >= least:
+        return df
+    return df.repartition(max(least, -(-size // TASK_BYTES)), *keys)
+
+
+def wide(spark: SparkSession, sf_dir: str, name: str, *keys) -> DataFrame:
+    """An input table, spread for an expensive stage."""
+    return spread(table(spark, sf_dir, name), *keys)
