@@ -137,10 +137,12 @@ class Model:
         model = None
         for _ in range(rounds):
             langs = sorted(set(y))
-            by = {k: Counter() for k in langs}
+            words = {k: Counter() for k in langs}
             for c, k in zip(counts, y):
-                for w, n in c.items():
-                    n = min(n, 20)
+                words[k].update({w: min(n, 20) for w, n in c.items()})
+            by = {k: Counter() for k in langs}
+            for k, ws in words.items():
+                for w, n in ws.items():
                     for g in grams(w):
                         by[k][g] += n
             kept = {k: dict(c.most_common(MAX_GRAMS)) for k, c in by.items()}
