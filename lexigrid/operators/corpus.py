@@ -46,6 +46,8 @@ NUMBER = r"(?:^|[^A-Za-z])[-+]?[0-9]"
 PERCENT = r"[0-9][\t-\r\x{85}\p{Z}]*%"
 LINE_MARKS = r"^[>*•-][\t-\r\x{85}\p{Z}]+"
 
+NOT_BLANK = r"[^\t-\r\x{85}\p{Z}]"
+
 UNIT_TYPES = ("context_only_short_unit", "stat_or_list_line", "prose_sentence")
 
 
@@ -80,57 +82,70 @@ def summary(corpus: DataFrame) -> DataFrame:
     return corpus.groupBy("game").agg(F.count("*").alias("n_documents"), F.sum("word_count").cast("bigint").alias("n_words"), F.median("word_count").cast("double").alias("median_words"))
 
 
-def strong_change(t: Column) -> Column:
-    return t.rlike(X.ARROW) | t.rlike(CHANGE) | ((t.rlike(NUMBER) | t.rlike(PERCENT)) & t.rlike(STAT))
+NO_UNITS = "CAST(array() AS ARRAY<STRUCT<line_index: BIGINT, unit_type: STRING, candidate: BOOLEAN, included: BOOLEAN, text: STRING, word_count: BIGINT>>)"
+
+
+def line_facts(lines: Column) -> Column:
+    """What the rules need to know of each line, each fact evaluated once: the steps hand over structs, as the
+    planner shares no common parts inside a lambda."""
+    a = F.transform(lines, lambda x, i: F.struct((i + 1).cast("bigint").alias("i"), X.squeeze(x).alias("s")))
+    a = F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["s"].alias("s"), x["s"].rlike(X.HEADING).alias("heading")))
+    text = lambda x: F.when(x["heading"], F.regexp_replace(X.squeeze(F.regexp_extract(x["s"], X.HEADING, 1)), r"^:+|:+$", "")).otherwise(F.trim(F.regexp_replace(x["s"], LINE_MARKS, "")))
+    a = F.filter(F.transform(a, lambda x: F.struct(x["i"].alias("i"), x["heading"].alias("heading"), text(x).alias("t"))), lambda x: x["t"] != "")
+
+    def facts(x):
+        t = x["t"]
+        return F.struct(
+            x["i"].alias("i"), x["heading"].alias("heading"), t.alias("t"), F.regexp_replace(t, r"^[ :]+|[ :]+$", "").alias("bare"), X.word_count(t).alias("wc"), t.rlike(X.ARROW).alias("arrow"),
+            t.rlike(CHANGE).alias("change"), t.rlike(STAT).alias("stat"), t.rlike(NUMBER).alias("number"), t.rlike(PERCENT).alias("percent"), F.contains(t, F.lit(":")).alias("colon"), t.rlike(r"[.!?]$").alias("ended"),
+        )
+
+    return F.transform(a, facts)
 
 
-def context_only(t: Column, heading: Column) -> Column:
-    bare = F.regexp_replace(t, r"^[ :]+|[ :]+$", "")
+def context_only(x: Column) -> Column:
+    """Kept as context: no change signal, and a heading, a known heading or at most six words without an end mark."""
+    signal = x["arrow"] | x["change"] | ((x["number"] | x["percent"]) & x["stat"])
     return (
-        F.when(bare == "", True)
-        .when(strong_change(bare), False)
-        .when(heading, True)
-        .when(F.lower(bare).isin(*CONTEXT_HEADINGS), True)
-        .otherwise((X.word_count(bare) <= 6) & ~bare.rlike(r"[.!?]$"))
+        F.when(x["bare"] == "", True)
+        .when(signal, False)
+        .when(x["heading"], True)
+        .when(F.lower(x["bare"]).isin(*CONTEXT_HEADINGS), True)
+        .otherwise((x["wc"] <= 6) & ~x["bare"].rlike(r"[.!?]$"))
     )
 
 
-def stat_line(t: Column) -> Column:
-    wc = X.word_count(t)
-    told = t.rlike(STAT) | t.rlike(CHANGE)
+def stat_line(x: Column) -> Column:
+    """A row of figures or a list entry: five rules in order."""
+    wc, told = x["wc"], x["stat"] | x["change"]
     return (
         F.when(wc == 0, False)
-        .when(t.rlike(X.ARROW), True)
-        .when(t.rlike(PERCENT) & (wc <= 40), True)
-        .when(t.rlike(NUMBER) & (wc <= 40) & (t.contains(":") | told), True)
-        .when((wc <= 30) & t.rlike(CHANGE) & ~t.rlike(r"[.!?]$"), True)
-        .otherwise(t.contains(":") & (wc <= 30) & told)
+        .when(x["arrow"], True)
+        .when(x["percent"] & (wc <= 40), True)
+        .when(x["number"] & (wc <= 40) & (x["colon"] | told), True)
+        .when((wc <= 30) & x["change"] & ~x["ended"], True)
+        .otherwise(x["colon"] & (wc <= 30) & told)
     )
 
 
-def line_units(line: Column, line_index: Column, min_words: int) -> Column:
-    """The units of one line, as an array of structs."""
-    t = X.squeeze(line)
-    heading = t.rlike(X.HEADING)
-    t = F.when(heading, F.regexp_replace(X.squeeze(F.regexp_extract(t, X.HEADING, 1)), r"^:+|:+$", "")).otherwise(F.trim(F.regexp_replace(t, LINE_MARKS, "")))
+def line_units(x: Column, min_words: int) -> Column:
+    """The units of one line's facts, as an array of structs."""
 
-    def unit(text, kind, target):
-        wc = X.word_count(text)
-        return F.struct(line_index.cast("bigint").alias("line_index"), F.lit(kind).alias("unit_type"), F.lit(target).alias("candidate"), (F.lit(target) & (wc >= min_words)).alias("included"), text.alias("text"), wc.alias("word_count"))
+    def unit(text, wc, kind, target):
+        return F.struct(x["i"].alias("line_index"), F.lit(kind).alias("unit_type"), F.lit(target).alias("candidate"), (F.lit(target) & (wc >= min_words)).alias("included"), text.alias("text"), wc.alias("word_count"))
 
     return (
-        F.when(t == "", F.expr("CAST(array() AS ARRAY<STRUCT<line_index: BIGINT, unit_type: STRING, candidate: BOOLEAN, included: BOOLEAN, text: STRING, word_count: BIGINT>>)"))
-        .when(context_only(t, heading), F.array(unit(t, UNIT_TYPES[0], False)))
-        .when(stat_line(t), F.array(unit(t, UNIT_TYPES[1], True)))
-        .otherwise(F.transform(X.sentences(t), lambda s: unit(s, UNIT_TYPES[2], True)))
+        F.when(context_only(x), F.array(unit(x["t"], x["wc"], UNIT_TYPES[0], False)))
+        .when(stat_line(x), F.array(unit(x["t"], x["wc"], UNIT_TYPES[1], True)))
+        .otherwise(F.transform(X.sentences(x["t"]), lambda s: unit(s, X.word_count(s), UNIT_TYPES[2], True)))
     )
 
 
 def document_units(corpus: DataFrame, min_words: int = 1) -> DataFrame:
     """The documents with the array of their units in page order."""
-    lines = F.filter(F.split(F.coalesce("clean_text", F.lit("")), "\n"), lambda x: X.squeeze(x) != "")
-    docs = corpus.withColumn("__lines", lines)
-    return docs.withColumn("units", F.flatten(F.transform("__lines", lambda x, i: line_units(x, i + 1, min_words)))).drop("__lines")
+    lines = F.filter(F.split(F.coalesce("clean_text", F.lit("")), "\n"), lambda x: x.rlike(NOT_BLANK))
+    found = F.flatten(F.transform(line_facts(lines), lambda x: line_units(x, min_words)))
+    return corpus.withColumn("units", F.coalesce(found, F.expr(NO_UNITS)))
 
 
 def units(corpus: DataFrame, min_words: int = 1) -> DataFrame:
