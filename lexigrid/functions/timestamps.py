@@ -1,11 +1,10 @@
 """Problem 4: mixed timestamp formats and time zones to one UTC moment.
 
-Method: a value is tokenised into a character-class shape mask (runs of digits keep their length, letters
-become `a`, month and weekday names become `M` and `W`, and so on). The distinct masks are found with one
-partially aggregated pass, each is mapped to a parser (an ordered list of field roles) once, and the values
-of a mask are then converted together, with NumPy, through zone transition tables of one tz version.
-
-The table of masks is joined back, not collected, so nothing depends on how many masks there are.
+Method: a value is tokenised into a character-class shape mask (runs of digits keep their length, month and
+weekday names become `M` and `W`, and so on). Each distinct mask is mapped to a parser (an ordered list of
+field roles) once in a worker, and the values of a parser are converted together, with NumPy, through zone
+transition tables of one tz version. A mask is never a key of a shuffle, so one that a third of all values
+share does no harm, and the map of masks is bounded (least recently used ones are dropped and mapped again).
 
 Reading rules: without a zone a value is local time of its site; a day alone means local midnight; a zone
 abbreviation other than UTC and GMT is that of the site and only tells standard from summer time where the
@@ -89,6 +88,7 @@ ROLE = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|_")
 ZONE_WORD = re.compile(r"(?:[a-z]{1,5}t|utc|gmt|z|msk)")
 
 
+@functools.lru_cache(100_000)
 def parser_of(shape: str) -> str | None:
     """The regular expression (named groups are the fields' roles) that reads all values of a mask, or None.
 
@@ -127,9 +127,6 @@ def parser_of(shape: str) -> str | None:
     return None
 
 
-MASK_PARSER = T.StringType()
-
-
 # zone transition tables
 
 def tz_version() -> str:
@@ -278,21 +275,18 @@ def convert(values: pd.Series, parser: str, zones: pd.Series, orders: pd.Series)
 
 
 def to_utc_micros(df: DataFrame, value: str, zone: str, order: str, out: str = "utc_micros") -> DataFrame:
-    """df with the column `out` (BIGINT): the moment that `value` names, by the site's zone and date order."""
-    shaped = df.withColumn("__mask", mask(F.col(value)))
+    """df with the column `out` (BIGINT): the moment that `value` names, by the site's zone and date order.
 
-    @F.pandas_udf(MASK_PARSER)
-    def to_parser(shapes: pd.Series) -> pd.Series:
-        return shapes.map(lambda s: parser_of(s) if isinstance(s, str) else None)
-
-    parsers = shaped.select("__mask").where(F.col("__mask").isNotNull()).distinct().select(F.col("__mask").alias("__m"), to_parser("__mask").alias("__parser"))
+    Masks are built in the JVM; a worker maps each mask it meets to its parser once and converts the values of
+    a parser together. No join, no shuffle, and no hot mask.
+    """
 
     @F.pandas_udf(T.LongType())
-    def run(v: pd.Series, p: pd.Series, z: pd.Series, o: pd.Series) -> pd.Series:
+    def run(v: pd.Series, m: pd.Series, z: pd.Series, o: pd.Series) -> pd.Series:
         res = pd.Series([None] * len(v), dtype=object, index=v.index)
-        for expr, rows in p.groupby(p, sort=False).groups.items():
+        parsers = m.map({s: parser_of(s) for s in m.dropna().unique()})
+        for expr, rows in parsers.groupby(parsers, sort=False).groups.items():
             res.loc[rows] = convert(v.loc[rows], expr, z.loc[rows], o.loc[rows])
         return res.astype("Int64")
 
-    joined = shaped.join(parsers, shaped["__mask"] == parsers["__m"], "left")
-    return joined.withColumn(out, run(F.col(value), "__parser", F.col(zone), F.col(order))).drop("__mask", "__m", "__parser")
+    return df.withColumn(out, run(F.col(value), mask(F.col(value)), F.col(zone), F.col(order)))

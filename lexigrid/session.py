@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def builder(app: str = "lexigrid", master: str | None = None, shuffle: int | None = None):
@@ -46,6 +46,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A side table for a join: written once, and broadcast if it is found to have at most that many rows.
+
+    A larger one is joined by shuffle; adaptive execution then splits the partitions of hot keys.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 #: Bytes of (compressed) input that one task of a text stage should take.
 TASK_BYTES = 64 << 20
 
