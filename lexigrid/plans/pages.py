@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexigrid.functions import text as X, urls as U
-from lexigrid.operators import hydrate as H, pages as P, topics as K
+from lexigrid.operators import hydrate as H, pages as P, structure, topics as K
 from lexigrid.operators.corpus import NOISE_LINES
 from lexigrid.plans.corpus import squeeze, unescaped
 from lexigrid.plans.profile import STOP, q
@@ -44,6 +44,15 @@ def block_diagnostics(spark, sf):
     return P.diagnostics(P.blocks(html(spark, sf)))
 
 
+def html_structure(spark, sf):
+    return structure.page_blocks(structure.structured_pages(html(spark, sf)))
+
+
+def html_pages(spark, sf):
+    p = structure.structured_pages(html(spark, sf))
+    return p.select("path", "title", "date_text", "root_tag", F.size("blocks").alias("n_blocks"), F.size("links").alias("n_links"), "status", "error")
+
+
 def url_classify(spark, sf):
     u = table(spark, sf, "page_manifest").select("url").distinct()
     c = F.col("url")
@@ -177,7 +186,7 @@ def topic_nmf(spark, sf):
 
 def queries() -> dict:
     names = (
-        "html_leaf_blocks html_links html_metadata html_blocks heading_paths block_text block_diagnostics url_classify page_context_score entry_classify manifest_lookup scrape_audit article_authors hydrate_variants "
+        "html_leaf_blocks html_structure html_pages html_links html_metadata html_blocks heading_paths block_text block_diagnostics url_classify page_context_score entry_classify manifest_lookup scrape_audit article_authors hydrate_variants "
         "hydrate_category hydrate_prepare bow_vocabulary label_distribution topic_label_means topic_crosstab topic_contrast topic_representatives roc_points topic_words topic_forest topic_nmf"
     )
     return {n: globals()[n] for n in names.split()}
