@@ -23,19 +23,26 @@ def records(df: DataFrame) -> DataFrame:
     missing = {"quote", "champion_name", "record_id"} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
-    col = lambda c: X.clean_meta(F.col(c)) if c in df.columns else F.lit("")
-    no_plain = lambda c: F.when(F.lower(c).isin(*PLAIN_SKINS), "").otherwise(c)
-    t = df.select(
-        "record_id", X.meta(F.col("quote")).alias("quote"), col("champion_name").alias("champion_name"),
-        no_plain(X.first_value(col("resolved_skin_name"), col("voiceover_set"))).alias("skin_name"), no_plain(col("resolved_skinline_name")).alias("line"),
-        X.first_value(col("champion_region"), col("runeterra_region")).alias("champion_region"), col("skin_region").alias("skin_region"),
-        X.first_value(col("skin_universe"), col("region_notes")).alias("skin_universe"),
+    # one step a select: a value that a later step uses twice is computed once, and the generated code stays small
+    names = ("champion_name", "resolved_skin_name", "voiceover_set", "resolved_skinline_name", "champion_region", "runeterra_region", "skin_region", "skin_universe", "region_notes")
+    known = lambda c: F.when(F.lower(c).isin(*X.NO_VALUE), "").otherwise(F.col(c)).alias(c)
+    t = df.select("record_id", X.strip(F.coalesce("quote", F.lit(""))).alias("quote"), *[(X.strip(F.coalesce(c, F.lit(""))) if c in df.columns else F.lit("")).alias(c) for c in names])
+    t = t.select("record_id", known("quote"), *map(known, names))
+    t = t.select("record_id", "quote", *[X.strip(F.regexp_replace(c, r"^\|-\|\s*", "")).alias(c) for c in names])
+    for_first = ("resolved_skin_name", "voiceover_set", "champion_region", "runeterra_region", "skin_region", "skin_universe", "region_notes")
+    t = t.withColumns({f"__{c}": F.nullif(known(c), F.lit("")) for c in for_first})
+    first = lambda *cs: F.coalesce(*[F.col(f"__{c}") for c in cs], F.lit(""))
+    t = t.select(
+        "record_id", "quote", "champion_name", first("resolved_skin_name", "voiceover_set").alias("skin"), F.col("resolved_skinline_name").alias("line"), first("champion_region", "runeterra_region").alias("champion_region"),
+        "skin_region", first("skin_region", "champion_region", "runeterra_region").alias("effective_region"), first("skin_universe", "region_notes").alias("skin_universe"),
     )
+    plain = lambda c, out: F.when(F.lower(c).isin(*PLAIN_SKINS), "").otherwise(F.col(c)).alias(out)
+    t = t.select("record_id", "quote", "champion_name", plain("skin", "skin_name"), plain("line", "line"), "champion_region", "skin_region", "effective_region", "skin_universe")
     some = lambda c: F.when(F.col(c) != "", F.col(c)).otherwise("unknown")
     t = t.select(
         "record_id", "quote", "champion_name", "skin_name", F.concat_ws("::", some("champion_name"), some("skin_name")).alias("champion_skin"),
         F.when(F.col("line") != "", F.col("line")).when(F.contains("skin_name", F.lit(":")), F.trim(F.substring_index("skin_name", ":", 1))).otherwise(F.col("skin_name")).alias("skinline_name"),
-        "champion_region", "skin_region", X.first_value(F.col("skin_region"), F.col("champion_region")).alias("effective_region"), "skin_universe", X.lm_tokens(F.col("quote")).alias("tokens"),
+        "champion_region", "skin_region", "effective_region", "skin_universe", X.lm_tokens(F.col("quote")).alias("tokens"),
     )
     return t.where((F.col("quote") != "") & (F.size("tokens") > 0))
 
