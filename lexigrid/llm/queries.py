@@ -68,6 +68,10 @@ def p3_template(spark, sf):
     return markup.template(markup.occurrences(markup_texts(spark, sf)))
 
 
+def p3_slots(spark, sf):
+    return _split_id(markup.slots(markup_texts(spark, sf)), "slot_no", "after", "before", "text")
+
+
 def rendered_documents(spark, sf):
     """(document_id, host, text, content) of the rendered documents with their pages; each once."""
     docs = table(spark, sf, "patchnote_corpus").where("source_kind = 'rendered_html'")
@@ -156,5 +160,10 @@ marks AS (
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {P1_LINES} SELECT DISTINCT document_id, line_no FROM gone",
+        "p1_clean": f"""WITH {P1_LINES},
+            d AS (SELECT DISTINCT document_id, game, clean_text FROM patchnote_corpus),
+            l AS (SELECT document_id, game, clean_text, i, parts[i + 1] AS line FROM (SELECT *, string_split(clean_text, chr(10)) AS parts FROM d WHERE clean_text IS NOT NULL) t, range(len(parts)) r(i)),
+            k AS (SELECT l.document_id, l.game, l.clean_text, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.line_no IS NULL), '') AS kept, count(g.line_no) AS n FROM l LEFT JOIN gone g ON g.document_id = l.document_id AND g.game = l.game AND g.line_no = l.i GROUP BY ALL)
+            SELECT d.document_id, d.game, k.kept AS clean_text, CAST(coalesce(n, 0) AS INTEGER) AS n_removed FROM d LEFT JOIN k ON d.document_id = k.document_id AND d.game = k.game AND d.clean_text = k.clean_text""",
         "p6_found": f"WITH {P6_WORDS} SELECT gen_id FROM marks GROUP BY gen_id, text HAVING sum(r) * 10 >= 3 * count(*)",
     }
