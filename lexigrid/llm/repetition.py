@@ -7,9 +7,11 @@ whether its wording is an exact copy of an earlier segment, and its length. The
 decoded labels decides retention: texts whose segments are all content are kept; the others are
 candidates, and an exact count of repeated words follows for these alone.
 
-The candidate step loses nothing: a text with 30 % repeated words has a segment with at least 30 %
-(an average can't exceed its largest part), and the emission weights outweigh both transitions at
-that share, so Viterbi labels such a segment 1 whatever its neighbours are (see `WEIGHTS`).
+The weights are fitted by maximum likelihood (forward-backward) on a bounded sample of texts, the first
+`sample` in hash order, whose segments are labelled by their exact share. `safe` then lifts the weight of the
+share as far as needed for this: the candidate step loses nothing, as a text with 30 % repeated words has a segment with at
+least 30 % (an average can't exceed its largest part), and at that share the emission outweighs both
+transitions, so Viterbi labels such a segment 1 whatever its neighbours are.
 
 Defined results: a null, empty or wordless text has share 0 and no segments; texts shorter than a window
 have no repetition; a row delivered twice counts once.
@@ -25,8 +27,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 WINDOW = 5
 MIN_SHARE = (3, 10)
-#: Emission score of label 1 = bias + share * w + copy * c; label 0 scores 0; staying on a label scores `stay`.
-#: At a share of 0.3: -1.2 + 0.3 * 10 = 1.8 > 2 * stay, so neighbours can't overrule it.
+#: Where no sample can be had. Emission score of label 1 = bias + share * w + copy * c + short * s; label 0 scores 0;
+#: staying on a label scores `stay`. At a share of 0.3: -1.2 + 0.3 * 10 = 1.8 > 2 * stay.
 WEIGHTS = {"bias": -1.2, "share": 10.0, "copy": 1.5, "short": -0.2, "stay": 0.7}
 
 WORD = re.compile(r"(?:[^\W_]|['’])+")
@@ -72,11 +74,14 @@ def viterbi(emission: np.ndarray, stay: float) -> np.ndarray:
     return labels
 
 
-def label(text: str | None, window: int = WINDOW, weights: dict = WEIGHTS):
-    """(words, repeated words, segments, segments labelled 1, content share) of one text."""
+FEATURES = ("bias", "share", "copy", "short")
+
+
+def features(text: str | None, window: int = WINDOW):
+    """(words, repeated words, words of each segment, features of each segment) of one text."""
     ws = words(text or "")
     if not ws:
-        return 0, 0, 0, 0, 1.0
+        return 0, 0, np.zeros(0, dtype=np.int64), np.zeros((0, len(FEATURES)))
     marks = repeated([w for w, _ in ws], window)
     ends = np.array([m.end() for m in SEGMENT.finditer(text) if m.end() > m.start()], dtype=np.int64)
     seg = np.searchsorted(ends, np.array([p for _, p in ws]), side="right")
@@ -89,10 +94,65 @@ def label(text: str | None, window: int = WINDOW, weights: dict = WEIGHTS):
         key = " ".join(w for w, _ in ws[at : at + n])
         copy[k] = key in seen
         seen.add(key)
-    emission = weights["bias"] + weights["share"] * share + weights["copy"] * copy * (share > 0) + weights["short"] * (size < 3) * (share < 0.3)
-    labels = viterbi(emission, weights["stay"])
-    content = int(size[labels == 0].sum())
-    return len(ws), int(marks.sum()), len(ids), int(labels.sum()), content / len(ws)
+    f = np.stack([np.ones(len(ids)), share, copy * (share > 0), (size < 3) * (share < 0.3)], axis=1)
+    return len(ws), int(marks.sum()), size, f
+
+
+def label(text: str | None, window: int = WINDOW, weights: dict = WEIGHTS):
+    """(words, repeated words, segments, segments labelled 1, content share) of one text."""
+    n, k, size, f = features(text, window)
+    if not n:
+        return 0, 0, 0, 0, 1.0
+    labels = viterbi(f @ np.array([weights[x] for x in FEATURES]), weights["stay"])
+    return n, k, len(size), int(labels.sum()), int(size[labels == 0].sum()) / n
+
+
+def marginals(emission: np.ndarray, stay: float) -> tuple[np.ndarray, np.ndarray]:
+    """P(label 1) of each segment and P(equal labels) of each pair of neighbours, by forward-backward."""
+    n = len(emission)
+    unary = np.stack([np.zeros(n), emission], axis=1)
+    pair = np.array([[stay, 0.0], [0.0, stay]])
+    fwd, bwd = unary.copy(), np.zeros((n, 2))
+    for i in range(1, n):
+        fwd[i] += np.logaddexp.reduce(fwd[i - 1][:, None] + pair, axis=0)
+    for i in range(n - 2, -1, -1):
+        bwd[i] = np.logaddexp.reduce(pair + unary[i + 1] + bwd[i + 1], axis=1)
+    z = np.logaddexp.reduce(fwd[-1])
+    one = np.exp(fwd[:, 1] + bwd[:, 1] - z)
+    both = np.exp(fwd[:-1, :, None] + pair + (unary[1:] + bwd[1:])[:, None, :] - z)
+    return one, both[:, 0, 0] + both[:, 1, 1]
+
+
+def train(texts: list[str], window: int = WINDOW, min_share=MIN_SHARE, epochs: int = 12, rate: float = 0.2, decay: float = 1e-3) -> dict:
+    """Weights of the field by gradient ascent on texts whose segments are labelled by their exact share; made safe."""
+    data = []
+    for t in texts:
+        n, _, _, f = features(t, window)
+        if n:
+            data.append((f, (f[:, 1] * min_share[1] >= min_share[0]).astype(float)))
+    if not data:
+        return dict(WEIGHTS)
+    w, stay = np.array([WEIGHTS[x] for x in FEATURES]), WEIGHTS["stay"]
+    for epoch in range(epochs):
+        step = rate / (1 + epoch)
+        for f, y in data:
+            one, equal = marginals(f @ w, stay)
+            w = w + step * ((y - one) @ f / len(y) - decay * w)
+            if len(y) > 1:
+                stay += step * (float(((y[1:] == y[:-1]) - equal).mean()) - decay * stay)
+    return safe(dict(zip(FEATURES, map(float, w))) | {"stay": float(stay)}, min_share)
+
+
+def safe(weights: dict, min_share=MIN_SHARE) -> dict:
+    """The weights with the least rise of the share's weight at which no segment of min_share can be labelled 0."""
+    need = 2 * abs(weights["stay"]) - weights["bias"] - min(0.0, weights["copy"]) + 1e-6
+    return dict(weights) | {"share": max(0.0, weights["share"], need * min_share[1] / min_share[0])}
+
+
+def fit(df: DataFrame, text: str = "text", window: int = WINDOW, sample: int = 300) -> dict:
+    """train() on the first `sample` distinct texts in hash order (for fitting only)."""
+    rows = df.select(F.col(text).alias("t")).where("t IS NOT NULL AND length(t) > 0").distinct().orderBy(F.xxhash64("t"), "t").limit(sample).collect()
+    return train([r.t for r in rows], window)
 
 
 MEASURE = T.StructType(
@@ -100,12 +160,13 @@ MEASURE = T.StructType(
 )
 
 
-def measure(df: DataFrame, key="gen_id", text="text", window: int = WINDOW) -> DataFrame:
+def measure(df: DataFrame, key="gen_id", text="text", window: int = WINDOW, weights: dict | None = None) -> DataFrame:
     """(key, n_words, n_repeated, repeated_share, n_segments, n_marked, content_share, retained): one row per key and text."""
+    weights = weights or fit(df, text, window)
 
     @F.pandas_udf(MEASURE)
     def run(col: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([label(t, window) for t in col], columns=MEASURE.names)
+        return pd.DataFrame([label(t, window, weights) for t in col], columns=MEASURE.names)
 
     rows = df.select(F.col(key).alias(key), F.col(text).alias("__text")).dropDuplicates()
     got = rows.select(key, run("__text").alias("m")).select(key, "m.*")
@@ -116,5 +177,5 @@ def measure(df: DataFrame, key="gen_id", text="text", window: int = WINDOW) -> D
 def found(df: DataFrame, key="gen_id", text="text", window: int = WINDOW, min_share=MIN_SHARE) -> DataFrame:
     """(key): candidates of the decoding whose exact share reaches min_share = (numerator, denominator)."""
     num, den = min_share
-    m = measure(df, key, text, window)
+    m = measure(df, key, text, window, safe(fit(df, text, window), min_share))
     return m.where(~F.col("retained") & (F.col("n_words") > 0) & (F.col("n_repeated") * den >= F.col("n_words") * num)).select(key).distinct()

@@ -22,13 +22,45 @@ def test_repeated_against_brute(spark, sf):
         assert (n, k) == brute(r.text)
 
 
+def trained():
+    rng = np.random.default_rng(3)
+    return R.train([" ".join(rng.choice(list("abcde")) + ("." if rng.random() < 0.2 else "") for _ in range(40)) for _ in range(40)])
+
+
+def test_trained_weights_label_the_exact_share():
+    w = trained()
+    assert w["share"] > 0 and w == R.safe(w)
+    assert R.train([]) == R.WEIGHTS
+    hit = n = 0
+    for t in ("one two three four five. six seven eight nine ten. one two three four five.", "a b c d e f g h. i j k l m. n o p q."):
+        _, _, size, f = R.features(t)
+        lab = R.viterbi(f @ np.array([w[x] for x in R.FEATURES]), w["stay"])
+        hit += int((lab == (f[:, 1] >= 0.3)).sum())
+        n += len(lab)
+    assert hit == n
+
+
+def test_marginals_against_all_labellings():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        e, stay = rng.normal(size=rng.integers(1, 7)), rng.normal()
+        n = len(e)
+        ys = np.array([[b >> i & 1 for i in range(n)] for b in range(2**n)])
+        p = np.exp(ys @ e + stay * (ys[:, 1:] == ys[:, :-1]).sum(axis=1))
+        p /= p.sum()
+        one, equal = R.marginals(e, stay)
+        assert np.allclose(one, p @ ys) and np.allclose(equal, p @ (ys[:, 1:] == ys[:, :-1]))
+
+
 def test_candidates_lose_nothing():
+    w = trained()
     rng = np.random.default_rng(1)
     for _ in range(300):
         text = " ".join(rng.choice(list("ab"), p=[0.7, 0.3]) + str(rng.integers(0, 6)) + ("." if rng.random() < 0.2 else "") for _ in range(rng.integers(0, 60)))
-        n, k, _, marked, _ = R.label(text)
-        if n and k * 10 >= 3 * n:
-            assert marked > 0
+        for weights in (R.WEIGHTS, w, R.safe({"bias": -9, "share": 1, "copy": -2, "short": 0, "stay": 3})):
+            n, k, _, marked, _ = R.label(text, weights=weights)
+            if n and k * 10 >= 3 * n:
+                assert marked > 0
 
 
 def test_viterbi_against_all_paths():
