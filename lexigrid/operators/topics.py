@@ -89,6 +89,13 @@ def dominant(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("dominant_topic", (F.array_position(vector, F.array_max(vector)) - 1).cast("int")).withColumn("dominant_score", F.array_max(vector).cast("double"))
 
 
+def document_table(df: DataFrame, vector: str, k: int, text: str, keep: list, snippet: int = 350) -> DataFrame:
+    """The kept columns, one column for each of k topics, the dominant topic with its score and the text's start."""
+    d = dominant(df, vector)
+    cols = [F.get(vector, F.lit(i)).cast("double").alias(f"topic_{i:02d}") for i in range(k)]
+    return d.select(*keep, *cols, "dominant_topic", "dominant_score", F.substring(text, 1, snippet).alias("snippet"))
+
+
 def crosstab(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     """Counts of row by the given values of col, zeros filled."""
     return df.groupBy(row).agg(*[F.count_if(F.col(col) == v).alias(f"{col}_{v}") for v in values])

@@ -218,3 +218,26 @@ def test_profile_edges(spark):
     got = {(r.processing, r.genre): r for r in profile.descriptors(df).collect()}
     assert got["RAW / minimal cleaning", "a"].total_types == 3 and got["RAW / minimal cleaning", "b"].total_types == 0 and got["RAW / minimal cleaning", "ALL"].n_texts == 3
     assert got["RAW / minimal cleaning", "a"].sd_ttr is None
+
+
+def test_document_table(spark):
+    r = K.document_table(spark.createDataFrame([(1, [0.2, 0.8], "x" * 400)], "i int, v array<double>, t string"), "v", 2, "t", ["i"]).collect()[0]
+    assert (r.topic_00, r.topic_01, r.dominant_topic, r.dominant_score, len(r.snippet)) == (0.2, 0.8, 1, 0.8, 350)
+
+
+def test_forest_by_cross_validation(spark):
+    rng = random.Random(3)
+    words = {"a": ["goal", "match", "team", "score"], "b": ["mana", "spell", "hero", "tower"]}
+    rows = [(" ".join(rng.choice(words[k]) for _ in range(12)), k) for k in "ab" for _ in range(30)]
+    df = spark.createDataFrame(rows, "text string, label string")
+    model = K.forest(df, "text", "label", k=2, trees=3, folds=2, grid={"rf.maxDepth": [2, 4]})
+    p = model.transform(df)
+    assert p.where("prediction = label_index").count() >= 50
+    topics = K.topic_words(K.lda(df, "text", k=2, min_df=1, max_df=0.99, max_iter=3), 3)
+    assert topics.count() == 6 and {r.rank for r in topics.collect()} == {1, 2, 3}
+
+
+def test_nmf_is_not_negative(spark):
+    w = spark.createDataFrame([(d, t, float(1 + (d + t) % 3)) for d in range(6) for t in range(5)], "doc int, term int, weight double")
+    f = K.nmf(w, k=2, max_iter=3).itemFactors.collect()
+    assert len(f) == 5 and all(x >= 0 for r in f for x in r.features)
