@@ -109,23 +109,37 @@ class Model:
 
     def __init__(self, langs: list[str], table: dict[str, np.ndarray], floor: np.ndarray):
         self.langs, self.table, self.floor = langs, table, floor
-        self.cache: dict[str, np.ndarray] = {}
+        self.number: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(langs)))
 
     def word(self, w: str) -> np.ndarray:
-        got = self.cache.get(w)
-        if got is None:
-            if len(self.cache) > 300_000:
-                self.cache = {}
-            got = np.zeros(len(self.langs))
-            for g in grams(w):
-                got = got + self.table.get(g, self.floor)
-            got = self.cache[w] = got * WEIGHT
-        return got
-
-    def units(self, text: str) -> np.ndarray:
-        """(words, languages) log-likelihoods."""
-        ws = WORDS.findall(text.lower())
-        return np.stack([self.word(w) for w in ws]) if ws else np.zeros((0, len(self.langs)))
+        """The log-likelihoods of a word by language."""
+        at = self._number(w)
+        return self.rows[at]
+
+    def _number(self, w: str) -> int:
+        at = self.number.get(w)
+        if at is None:
+            at = self.number[w] = len(self.number)
+            if at == len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            get, floor = self.table.get, self.floor
+            self.rows[at] = np.sum([get(g, floor) for g in grams(w)], axis=0) * WEIGHT
+        return at
+
+    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The (words, languages) log-likelihoods of all texts, and the place after the last word of each."""
+        if len(self.number) > 300_000:  # bounds the words kept by a worker
+            self.number, self.rows = {}, np.zeros((1024, len(self.langs)))
+        ids: list[int] = []
+        ends = []
+        known = self.number
+        for t in texts:
+            for w in WORDS.findall(t.lower()):
+                at = known.get(w)
+                ids.append(self._number(w) if at is None else at)
+            ends.append(len(ids))
+        return self.rows[ids], np.array(ends)
 
     @staticmethod
     def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model | None:
@@ -162,18 +176,18 @@ class Model:
 def em(like: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
     """(proportions, log-likelihood) of a mixture of the columns of a log-likelihood matrix."""
     n, k = like.shape
-    top = like.max(axis=1, keepdims=True)
-    p = np.exp(like - top)
+    if k == 1:
+        return np.ones(1), float(like.sum())
+    top = like.max(axis=1)
+    p = np.exp(like - top[:, None])
     pi = np.full(k, 1.0 / k)
-    for _ in range(rounds if k > 1 else 0):
-        r = p * pi
-        r /= r.sum(axis=1, keepdims=True)
-        new = r.mean(axis=0)
-        done = np.abs(new - pi).max() < 1e-4
+    for _ in range(rounds):
+        new = pi * (p.T @ (1.0 / np.maximum(p @ pi, 1e-300))) / n
+        done = np.abs(new - pi).max() < 1e-3
         pi = new
         if done:
             break
-    return pi, float((np.log(np.maximum(p @ pi, 1e-300)) + top[:, 0]).sum())
+    return pi, float(np.log(np.maximum(p @ pi, 1e-300)).sum() + top.sum())
 
 
 def language_set(like: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
@@ -197,23 +211,23 @@ def infer(model: Model, text: str | None, penalty: float = PENALTY) -> list[tupl
     sents = segments(text)
     if not sents:
         return []
-    mats = [model.units(s) for s in sents]
-    chosen, pi = language_set(np.concatenate(mats), penalty)
+    like, ends = model.units(sents)
+    chosen, pi = language_set(like, penalty)
     # a sentence the whole mixture leaves to a foreign language with a clear lead brings it into the set
-    sums = np.stack([m.sum(axis=0) for m in mats])
+    total = np.concatenate([np.zeros((1, like.shape[1])), np.cumsum(like, axis=0)])[ends]
+    sums = np.diff(np.concatenate([np.zeros((1, like.shape[1])), total]), axis=0)
     for k in range(sums.shape[1]):
         lead = sums[:, k] - sums[:, chosen].max(axis=1)
         if k not in chosen and (lead > penalty).sum() >= 2:
             chosen, pi = [*chosen, k], np.append(pi, 0.01)
-    pi = np.maximum(pi, 1e-3) / np.maximum(pi, 1e-3).sum()
-    out = []
-    for s, total in zip(sents, sums):
-        score = total[chosen] + np.log(pi)
-        post = np.exp(score - score.max())
-        best = int(np.argmax(score))
-        conf = 1.0 / (1.0 + np.exp(np.clip(np.delete(total, chosen[best]) - total[chosen[best]], -60, 60)).sum()) if len(total) > 1 else 1.0
-        out.append((s, model.langs[chosen[best]], float(min(conf, post[best] / post.sum()))))
-    return out
+    pi = np.maximum(pi, 1e-3)
+    score = sums[:, chosen] + np.log(pi / pi.sum())
+    best = np.argmax(score, axis=1)
+    each = np.arange(len(sents))
+    lead = np.clip(sums - sums[each, np.array(chosen)[best]][:, None], -60, 60)
+    post = np.exp(score - score[each, best][:, None])
+    conf = np.minimum(1.0 / np.exp(lead).sum(axis=1), 1.0 / post.sum(axis=1))
+    return [(s, model.langs[chosen[k]], float(c)) for s, k, c in zip(sents, best, conf)]
 
 
 def text_languages(sents: list[tuple[str, str, float]]) -> dict[str, tuple[int, float, float]]:
