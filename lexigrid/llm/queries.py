@@ -101,7 +101,7 @@ def p6_shares(spark, sf):
 
 
 def p7_found(spark, sf):
-    return lookalike.found(table(spark, sf, "voicelines"), table(spark, sf, "patchnote_corpus"))
+    return lookalike.found(table(spark, sf, "voicelines"), table(spark, sf, "patchnote_corpus"), blanks=True)
 
 
 def p8_ids(spark, sf):
