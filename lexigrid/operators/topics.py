@@ -25,14 +25,14 @@ def vocabulary(df: DataFrame, key: str, text: str, min_df: int = 5, max_df: floa
 
 
 def lda(df: DataFrame, text: str, k: int = 10, features: int = 1000, min_df: int = 5, max_df: float = 0.95, seed: int = 42, max_iter: int = 10):
-    """A fitted bag-of-words and LDA pipeline."""
+    """A fitted bag-of-words and LDA pipeline; every iteration reads every document (the online optimizer draws a sample)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer, SQLTransformer
 
     stop = ", ".join("'" + w + "'" for w in FUNCTION_WORDS)
     toks = SQLTransformer(statement=f"SELECT *, filter(regexp_extract_all(lower(coalesce({text}, '')), r'{WORDS}', 0), w -> w NOT IN ({stop})) AS tokens FROM __THIS__")
-    return Pipeline(stages=[toks, CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=features), LDA(k=k, optimizer="online", seed=seed, maxIter=max_iter, featuresCol="features")]).fit(df)
+    return Pipeline(stages=[toks, CountVectorizer(inputCol="tokens", outputCol="features", minDF=min_df, maxDF=max_df, vocabSize=features), LDA(k=k, optimizer="em", seed=seed, maxIter=max_iter, featuresCol="features")]).fit(df)
 
 
 def topic_words(model, n: int = 10) -> DataFrame:
@@ -56,7 +56,7 @@ def forest(df: DataFrame, text: str, label: str, k: int = 8, trees: int = 20, fo
     stop = ", ".join("'" + w + "'" for w in FUNCTION_WORDS)
     toks = SQLTransformer(statement=f"SELECT *, filter(regexp_extract_all(lower(coalesce({text}, '')), r'{WORDS}', 0), w -> w NOT IN ({stop})) AS tokens FROM __THIS__")
     cv = CountVectorizer(inputCol="tokens", outputCol="features", minDF=5, maxDF=0.95, vocabSize=1000)
-    topics = LDA(k=k, optimizer="online", seed=seed, maxIter=5, featuresCol="features", topicDistributionCol="topics")
+    topics = LDA(k=k, optimizer="em", seed=seed, maxIter=10, featuresCol="features", topicDistributionCol="topics")
     rf = RandomForestClassifier(featuresCol="topics", labelCol="label_index", numTrees=trees, maxDepth=10, seed=seed)
     pipe = Pipeline(stages=[toks, cv, topics, StringIndexer(inputCol=label, outputCol="label_index", handleInvalid="keep"), rf])
     if not folds:

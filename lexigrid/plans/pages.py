@@ -158,7 +158,7 @@ def roc_points(spark, sf):
 
 
 def topic_words(spark, sf):
-    return K.topic_words(K.lda(table(spark, sf, "documents").select("text"), "text", k=6, max_iter=5))
+    return K.topic_words(K.lda(table(spark, sf, "documents").select("text"), "text", k=6))
 
 
 def topic_forest(spark, sf):

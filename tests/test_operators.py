@@ -237,6 +237,13 @@ def test_forest_by_cross_validation(spark):
     assert topics.count() == 6 and {r.rank for r in topics.collect()} == {1, 2, 3}
 
 
+def test_topics_hold_every_word_of_every_document(spark):
+    df = spark.createDataFrame([(f"w{i % 7} w{i % 5} w{i % 3} w{i % 11}", "ab"[i % 2]) for i in range(80)], "text string, label string")
+    for model in (K.lda(df, "text", k=2, min_df=1, max_df=0.99, max_iter=3), K.forest(df, "text", "label", k=2, trees=2)):
+        n = sum(r.features.values.sum() for r in model.stages[1].transform(model.stages[0].transform(df)).select("features").collect())
+        assert n > 0 and abs(model.stages[2].topicsMatrix().toArray().sum() - n) < 1e-6 * n
+
+
 def test_nmf_is_not_negative(spark):
     w = spark.createDataFrame([(d, t, float(1 + (d + t) % 3)) for d in range(6) for t in range(5)], "doc int, term int, weight double")
     f = K.nmf(w, k=2, max_iter=3).itemFactors.collect()
