@@ -57,8 +57,8 @@ GRAMMAR: list[tuple[str, str, str]] = [
     ("wiki", "bold", r"'''''[^'\n]+'''''|'''(?:[^'\n]|'(?!''))+'''|(?<!')''(?:[^'\n]|'(?!'))+''(?!')"),
     ("wiki", "switch", r"__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__"),
     ("latex", "environment", r"\\(?:begin|end)\{[^{}\n]*\}"),
-    ("latex", "display", r"\$\$[^$]+\$\$|\\\[[\s\S]{1,2000}?\\\]"),
-    ("latex", "formula", r"\\\([^\n]{1,500}?\\\)|(?<![\\$\w])\$(?!\s)(?=[^$\n]*[\\^_={}])[^$\n]{1,300}(?<![\s\\])\$(?!\w)"),
+    ("latex", "display", r"\$\$[^$]+\$\$|\\\["),
+    ("latex", "formula", r"\\\(|(?<![\\$\w])\$(?!\s)(?=[^$\n]*[\\^_={}])[^$\n]++(?<![\s\\])\$(?!\w)"),
     ("latex", "command", r"(?<![\w:\\/.])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{[^{}\n]*\}|(?<![\w:\\/.])\\(?:item|hline|newline|noindent|par|ldots|dots|times|cdot|rightarrow|leftarrow|Rightarrow|to|leq|geq|neq|approx|pm|infty|alpha|beta|gamma|delta|sum|prod|sqrt|frac|quad|qquad|medskip|bigskip|smallskip|LaTeX|TeX)(?![a-zA-Z])|(?<=[0-9a-zA-Z])\\%|\\\\(?=\s*$)"),
     ("markdown", "fence", r"(?m:^\s*(?:```|~~~).*$)"),
     ("markdown", "code", r"(?<!`)`[^`\n]+`(?!`)"),
@@ -73,6 +73,30 @@ COMPILED = [(k, n, re.compile(p, re.I if (k, n) in FLAGS else 0)) for k, n, p in
 SIGNS = re.compile(r"[<&\[{$`\\]|\*|__|_\S|~~|''|==|\|\s*:?-|^\s*\|[-}]", re.M)
 
 
+#: Openings that a pattern of GRAMMAR leaves to `spans`: the closing mark, and whether both stand in one line.
+CLOSED_BY = {r"\[": (r"\]", False), r"\(": (r"\)", True)}
+
+
+def spans(pat: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Places of a pattern's matches, not overlapping; an opening of CLOSED_BY reaches to its first closing mark, at any
+    distance. The search for closing marks and ends of lines never goes back."""
+    at = close = line_end = 0
+    while m := pat.search(text, at):
+        a, b = m.span()
+        if m.group() in CLOSED_BY:
+            mark, one_line = CLOSED_BY[m.group()]
+            if 0 <= close < b + 1:
+                close = text.find(mark, b + 1)
+            if one_line and 0 <= line_end <= b:
+                line_end = text.find("\n", b)
+            if close < 0 or one_line and 0 <= line_end < close:
+                at = a + 1
+                continue
+            b = close + len(mark)
+        yield a, b
+        at = max(b, a + 1)
+
+
 def tokens(text: str | None) -> list[tuple[int, int, str, str, str]]:
     """(start, end, kind, name, token) of the markers of a text, not overlapping, in order."""
     if not text or not SIGNS.search(text):
@@ -80,8 +104,7 @@ def tokens(text: str | None) -> list[tuple[int, int, str, str, str]]:
     taken = bytearray(len(text))
     out = []
     for kind, name, pat in COMPILED:
-        for m in pat.finditer(text):
-            a, b = m.span()
+        for a, b in spans(pat, text):
             if a == b or taken[a] or taken[b - 1]:
                 continue
             if name in ("strong", "emphasis", "strike", "heading", "bold") or not any(taken[a:b]):
@@ -91,7 +114,7 @@ def tokens(text: str | None) -> list[tuple[int, int, str, str, str]]:
                         taken[i] = 1
                 else:
                     taken[a:b] = b"\1" * (b - a)
-                out.append((a, b, kind, name, _token(kind, name, m.group())))
+                out.append((a, b, kind, name, _token(kind, name, text[a:b])))
     # character references that spell out a tag are inside no other token, as they come first in the grammar
     return sorted(out)
 
@@ -190,6 +213,14 @@ def slots(texts: DataFrame) -> DataFrame:
     return spread(marked.select("text_id", "text")).mapInPandas(run, SLOT)
 
 
+def _unwrap(pattern: str, t: str) -> str:
+    """t with what stands inside instead of each match, at any depth."""
+    n = 1
+    while n:
+        t, n = re.subn(pattern, r"\1", t)
+    return t
+
+
 _HEADING = re.compile(r"<h([1-6])(?=[\s>])[^<>]*>", re.I)
 
 
@@ -211,7 +242,11 @@ def clean(text: str | None) -> str | None:
     t = re.sub(r"(?<!`)`([^`\n]+)`(?!`)", lambda m: keep(m[1]), t)
     for kind, name, pat in COMPILED:
         if kind == "latex" and name in ("display", "formula"):
-            t = pat.sub(lambda m: keep(m.group()), t)
+            at, parts = 0, []
+            for a, b in spans(pat, t):
+                parts += [t[at:a], keep(t[a:b])]
+                at = b
+            t = "".join([*parts, t[at:]])
     t = html.unescape(t) if "&" in t else t
     t = re.sub(r"<!--[\s\S]*?-->", "", t)
     t = re.sub(r"(?is)<(script|style)(?=[\s>]).*?</\1\s*>", "", t)
@@ -224,8 +259,7 @@ def clean(text: str | None) -> str | None:
     t = re.sub(r"\[\[(?:Category|File|Image|Datei|Kategorie):[^\[\]\n]*\]\]", "", t)
     t = re.sub(r"\[\[(?:[^\[\]|\n]*\|)?([^\[\]|\n]+)\]\]", r"\1", t)
     t = re.sub(r"\[(?:https?:)?//[^\s\[\]]+(?:\s([^\[\]\n]*))?\]", lambda m: m[1] or "", t)
-    for _ in range(3):
-        t = re.sub(r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", r"\1", t)
+    t = _unwrap(r"\{\{(?:[^{}|\n]*\|)*([^{}|\n]*)\}\}", t)
     t = re.sub(r"(?m)^\s*(={2,6})\s*([^=\n]+?)\s*\1\s*$", lambda m: "#" * len(m[1]) + " " + m[2], t)
     t = re.sub(r"'{2,5}((?:[^'\n]|'(?!'))+)'{2,5}", r"\1", t)
     t = re.sub(r"(?m)^\s*(?:\{\|.*|\|\}|\|-+)\s*\n?", "", t)
@@ -233,8 +267,7 @@ def clean(text: str | None) -> str | None:
     t = re.sub(r"\\(sub)*section\*?\{([^{}\n]*)\}", lambda m: ("##" if m[1] else "#") + " " + m[2], t)
     t = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}[ \t]*\n?", "", t)
     t = re.sub(r"\\item(?![a-zA-Z])(?:\s*[-*•]\s)?\s*", "- ", t)
-    for _ in range(3):
-        t = re.sub(r"(?<![\w:\\/.])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}\n]*)\}", r"\1", t)
+    t = _unwrap(r"(?<![\w:\\/.])\\[a-zA-Z]+\*?(?:\[[^\[\]\n]*\])?\{([^{}\n]*)\}", t)
     t = re.sub(r"(?<=[0-9a-zA-Z])\\%", "%", t)
     # Markdown
     t = re.sub(r"!\[([^\[\]\n]*)\]\([^()\n]*\)", r"\1", t)

@@ -51,3 +51,26 @@ def test_slots(spark):
     df = spark.createDataFrame([("1", "a <b>x</b>\n**y** z"), ("2", "plain"), ("3", None)], "text_id string, text string")
     got = [(r.slot_no, r.after, r.before, r.text) for r in M.slots(df).orderBy("slot_no").collect()]
     assert got == [(0, None, "<b>", "a"), (1, "<b>", "</b>", "x"), (2, "markdown:strong", None, "z")]
+
+
+def test_long_and_deep():
+    for text in ("\\(" + "x+" * 400 + "x\\)", "\\[" + "x\n" * 2000 + "\\]", "$x=" + "1+" * 400 + "1$"):
+        assert [t[:4] for t in M.tokens(f"a {text} b")] == [(2, 2 + len(text), "latex", "display" if text[1] == "[" else "formula")]
+        assert M.clean(f"a {text} **b**") == f"a {text} b"
+    assert M.clean("{{a|" * 6 + "x" + "}}" * 6) == "x" and M.clean("\\emph{" * 6 + "x" + "}" * 6) == "x"
+    for pat in (p for k, n, p in M.COMPILED if (k, n) in (("latex", "display"), ("latex", "formula"))):
+        for text in ("\\(" * 50000, "\\[" * 50000, "\\( x\n" * 20000, "\\(x\\)" * 20000):
+            list(M.spans(pat, text))
+
+
+def test_spans_as_by_pattern():
+    import random
+    import re
+
+    rng = random.Random(5)
+    bounded = [re.compile(r"\$\$[^$]+\$\$|\\\[[\s\S]+?\\\]"), re.compile(r"\\\([^\n]+?\\\)|(?<![\\$\w])\$(?!\s)(?=[^$\n]*[\\^_={}])[^$\n]+(?<![\s\\])\$(?!\w)")]
+    scanned = [p for k, n, p in M.COMPILED if (k, n) in (("latex", "display"), ("latex", "formula"))]
+    for _ in range(3000):
+        text = "".join(rng.choice(["\\(", "\\)", "\\[", "\\]", "$", "$$", "\n", " ", "x", "_", "\\"]) for _ in range(rng.randint(0, 14)))
+        for one, other in zip(bounded, scanned):
+            assert [m.span() for m in one.finditer(text)] == list(M.spans(other, text)), text
