@@ -53,3 +53,9 @@ def test_page_text():
 def test_malformed():
     for junk in ("<", "<div", "</p></p>", "<table><td>a<table>", "<h1></h1>", "<!--", "&#x;", "<a href='"):
         P.read_page(junk)
+
+
+def test_align_long_pages():
+    lines = ["menu", *(f"line {i}" for i in range(2500))]
+    blocks = [P.Block(x, "p", (), 0.0) for x in [*lines[1:], "menu"]]
+    assert P.align(lines, blocks) == [-1, *range(2500)]
