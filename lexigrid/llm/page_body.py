@@ -1,31 +1,37 @@
 """Problem 5: the main body of web pages.
 
-Method: host suffix array. The pages of a host are read as token streams of block marks (`<li>`, `<p>`, ...)
-and words (letters only, lower-cased; figures as #). A suffix is keyed by its first `min_tokens` tokens; equal
-keys are one interval of the host's suffix array whose common prefix has at least that length, so keys that
-occur in at least `min_pages` distinct pages are the long repeated substrings, found with one partially
-aggregated count and no task that holds a host. The hosts of one site are read together, as they share
-templates; sites with few pages are pooled.
-
-Blocks that a repeated substring covers are the candidates for boilerplate; a block that none covers is a
-unique run and kept. Repetition alone can't part a templated sentence of the note from furniture, so an exact
-check of the candidates follows: the page's headline (its first h1) and the block elements that share its
-parent element are the note (headings, paragraphs, list entries, table rows); everything outside is furniture,
-and so are the containers and spans beside the note's own elements and the bylines, share prompts and
-pointers among its paragraphs.
+Method: host suffix array. The pages of a site are read as token streams of block marks (`<li>`, `<p>`, ...)
+and words (letters only, lower-cased; figures as #). Of the site's suffix array the suffixes that begin or end at a
+block's edge are kept (a sparse suffix array); each is keyed by its hash at fixed depths, equal keys are one
+interval of the array, and one partially aggregated count gives the distinct pages of every interval, so no
+task holds a host and no suffix is compared with another.
+
+* Long repeats: a run of whole blocks with at least `min_tokens` tokens that stands in at least `min_pages` pages and in
+  `run_share` of the site's pages is boilerplate, and so is every block that it covers but the note's headline. As both the shortest such runs
+  that begin and those that end at each block are keyed, every longer repeated run of whole blocks is covered.
+* Template openings: a paragraph's first words that stand in `opening_share` of the pages (of the site or of all pages),
+  once in each, where words that are as frequent by chance would stand twice in at least `evidence` pages (Poisson), open a
+  unit of the page's template, whatever follows (a share prompt, a byline, a pointer to an older note).
+* Slots: blocks whose opening or whole text is repeated, or that stand beside such a block, may be slots of the
+  template. Repetition can't tell a link's title in a side box from the same title as a heading of the note, so an
+  exact check follows for these alone: outside the element that holds the headline, or in a container or span
+  beside the note's own elements, they are furniture.
+
+Everything else is a unique run and kept.
 
 A document's lines are aligned with its page's blocks by their letters and figures; a line without a block
-(as its markup differs) belongs to the body if a neighbouring line does.
+(as its markup differs) is a paragraph of the note if a neighbouring line stands in the note, and furniture by structure if not.
 
-Defined results: a document without a page is judged by its lines alone (see `judge_lines`); null and empty
-texts have no lines; blank lines are no cases; a row delivered twice counts once; pages of any length are
-read whole, one page per call.
+Defined results: the lines of a document without a page are paragraphs without marks, judged by repetition alone; null
+and empty texts have no lines; blank lines are no cases; a row delivered twice counts once; a null host is a site of its
+own; a site whose pages repeat nothing keeps all its lines; pages of any length are read whole, one page per call.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -45,16 +51,16 @@ FURNITURE = frozenset("nav aside footer header form button menu".split())
 ENDS_P = HEADINGS | frozenset("address article aside blockquote div dl fieldset footer form header hr main nav ol p pre section table ul li td tr th".split())
 SCOPES = frozenset("table td th div main article section aside nav footer header ul ol body form".split())
 
-#: Wordings of bylines, then of share prompts, adverts, date lines and pointers (as `plain` gives them).
-BYLINE = re.compile(r"^by( [^\W\d_]+){1,5} team\b|^by( [^\W\d_]+){2,3}$")
-PROMPT = re.compile(r"^join # others|^follow .* for more|^subscribe|^posted #|^published #|^# min read$|^tags |^filed under|^comments #?$|^related( posts| articles)?$|^previous (post|article)|^advertisement|^sponsored|^read (next|more|also)|^you may also|^print this|^back to top|^share this|^(older|newer) |^written by")
+#: How a block stands to the note by the page's structure: its own element, furniture, or a paragraph that may be either.
+OWN, OUTSIDE, PARAGRAPH = 0, 1, 2
+PARAGRAPHS = frozenset("p pre blockquote dd div section article main".split())
 
 
 class Block:
-    __slots__ = ("text", "tag", "path", "links", "region", "main")
+    __slots__ = ("text", "tag", "path", "links", "region", "main", "loose")
 
     def __init__(self, text, tag, path, links):
-        self.text, self.tag, self.path, self.links, self.region, self.main = text, tag, path, links, False, False
+        self.text, self.tag, self.path, self.links, self.region, self.main, self.loose = text, tag, path, links, False, False, False
 
 
 class Reader(HTMLParser):
@@ -136,14 +142,8 @@ def plain(text: str) -> str:
     return " ".join("#" if w[0].isdigit() else w for w in re.findall(r"[^\W_]+", t))
 
 
-def furniture_text(text: str) -> bool:
-    """A byline, share prompt, advert, date line or pointer by its wording."""
-    p = plain(text)
-    return bool(BYLINE.search(p) or PROMPT.search(p))
-
-
 def read_page(content: str) -> list[Block]:
-    """The blocks of a page; region: inside the note's element; main: main content."""
+    """The blocks of a page; region: inside the note's element; main: one of the note's own elements; loose: its bare text."""
     r = Reader()
     r.feed(content)
     r.close()
@@ -170,15 +170,11 @@ def read_page(content: str) -> list[Block]:
         b.region = not any(x[0] in FURNITURE for x in below)
         note = b.tag in NOTE or bare and b.tag in ("div", "section", "article", "main")
         boxed = any(x[0] in ("div", "section") for x in below[:-1]) and not bare and b.links > 0.8
-        b.main = b.region and note and not boxed and not furniture_text(b.text)
+        b.main = b.region and note and not boxed
+        b.loose = not below  # stands in the note's element, but in no element of its own
     return blocks
 
 
-def judge_lines(lines: list[str]) -> list[bool]:
-    """main content or not, for a document without a page: by wording alone; the first line is the headline."""
-    return [i == 0 or not furniture_text(x) for i, x in enumerate(lines)]
-
-
 def align(lines: list[str], blocks: list[Block]) -> list[int]:
     """The block of each line, or -1; in order."""
     a, b = [key(x) or "\0" for x in lines], [key(x.text) or "\1" for x in blocks]
@@ -189,73 +185,109 @@ def align(lines: list[str], blocks: list[Block]) -> list[int]:
     return out
 
 
-def judge(lines: list[str], content: str | None) -> tuple[list[bool], list[Block]]:
-    """(main content or not by line, the page's blocks or the lines as blocks)."""
+def judge(lines: list[str], content: str | None) -> tuple[list[int], list[Block]]:
+    """(how each line stands to the note, the block of each line) by the page's structure."""
     blocks = read_page(content) if content else []
     if not blocks:
-        main = judge_lines(lines)
-        return main, [Block(x, "p", (), 0.0) for x in lines]
+        return [PARAGRAPH] * len(lines), [Block(x, "p", (), 0.0) for x in lines]
     at = align(lines, blocks)
     n = len(lines)
     region = [None if j < 0 else blocks[j].region for j in at]
-    before, last = [False] * n, False
-    for i in range(n):
-        before[i] = last
-        last = region[i] if region[i] is not None else last
-    after, last = [False] * n, False
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        last = region[i] if region[i] is not None else last
-    main = [blocks[j].main if j >= 0 else (before[i] or after[i]) and not furniture_text(lines[i]) for i, j in enumerate(at)]
-    return main, [blocks[j] if j >= 0 else Block(lines[i], "p", (), 0.0) for i, j in enumerate(at)]
-
-
-def stream(blocks: list[Block]) -> list[tuple[int, str]]:
-    """(block number, token) of the page's token stream."""
-    out = []
-    for k, b in enumerate(blocks):
-        out.append((k, f"<{b.tag}>"))
-        out += [(k, w) for w in plain(b.text).split()]
-        out.append((k, f"</{b.tag}>"))
-    return out
-
-
+    near = [False] * n
+    for order in (range(n), range(n - 1, -1, -1)):
+        last = False
+        for i in order:
+            near[i] |= last
+            last = region[i] if region[i] is not None else last
+    out, of = [], []
+    for i, j in enumerate(at):
+        if j < 0:
+            out.append(PARAGRAPH if near[i] else OUTSIDE)
+            of.append(Block(lines[i], "p", (), 0.0))
+        else:
+            b = blocks[j]
+            out.append(OUTSIDE if not b.main else PARAGRAPH if b.loose or b.tag in PARAGRAPHS else OWN)
+            of.append(b)
+    return out, of
+
+
+KEYS = T.ArrayType(T.StructType([T.StructField("key", T.LongType()), T.StructField("twice", T.BooleanType())]))
 PAGES = T.StructType(
-    [T.StructField("document_id", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))])))]
+    [
+        T.StructField("document_id", T.StringType()),
+        T.StructField("site", T.StringType()),
+        T.StructField("keys", KEYS),
+        T.StructField("lines", T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("runs", T.ArrayType(T.IntegerType())), T.StructField("opening_site", T.ArrayType(T.IntegerType())), T.StructField("opening_all", T.ArrayType(T.IntegerType())), T.StructField("slots", T.ArrayType(T.IntegerType()))]))),
+    ]
 )
 
 
-def page_suffixes(pool: str, blocks: list[Block], min_tokens: int) -> tuple[list[int], list[set[int]]]:
-    """The distinct keys of a page's suffixes (64-bit hashes of the pool and the first min_tokens tokens), and the
-    places in that list of the keys that touch each block."""
-    toks = stream(blocks)
+def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """The shortest runs [a, b) of whole blocks with at least `least` tokens that begin, and those that end, at each block."""
+    ends = [0]
+    for n in sizes:
+        ends.append(ends[-1] + n)
+    out = set()
+    b = 0
+    for a in range(len(sizes)):
+        while b < len(sizes) and ends[b] - ends[a] < least:
+            b += 1
+        if ends[b] - ends[a] >= least:
+            out.add((a, b))
+    a = len(sizes)
+    for b in range(len(sizes), 0, -1):
+        a = min(a, b)
+        while a > 0 and ends[b] - ends[a] < least:
+            a -= 1
+        if ends[b] - ends[a] >= least:
+            out.add((a, b))
+    return sorted(out)
+
+
+def page_suffixes(site: str, stands: list[int], blocks: list[Block], min_tokens: int):
+    """The keys of a page with whether they stand in it twice, and for each block the places in that list of its runs,
+    of its opening (paragraphs only; in its site and in all pages), and of what may make it a slot (blocks outside the note only)."""
     number: dict[int, int] = {}
-    touched: list[set[int]] = [set() for _ in blocks]
-    seed = pool + "\0"
-    for i in range(max(1, len(toks) - min_tokens + 1) if toks else 0):
-        part = toks[i : i + min_tokens]
-        key = xxhash.xxh64_intdigest(seed + " ".join([x for _, x in part])) - 2**63
-        at = number.setdefault(key, len(number))
-        for k, _ in part:
-            touched[k].add(at)
-    return list(number), touched
-
+    times: Counter = Counter()
 
-def judged_pages(docs: DataFrame, min_tokens: int = 3) -> DataFrame:
-    """(document_id, keys, lines) of each (document_id, pool, text, content): the page's suffix keys, and the
-    non-blank lines that the exact check finds outside the main content with the places of their keys."""
+    def place(*parts: str) -> int:
+        key = xxhash.xxh64_intdigest("\0".join(parts)) - 2**63
+        at = number.setdefault(key, len(number))
+        times[at] += 1
+        return at
+
+    words = [plain(b.text).split() for b in blocks]
+    units = [f"<{b.tag}> {' '.join(w)} </{b.tag}>" for b, w in zip(blocks, words)]
+    run: list[list[int]] = [[] for _ in blocks]
+    for a, b in runs([len(w) + 2 for w in words], min_tokens):
+        at = place("run", site, *units[a:b])
+        for k in range(a, b):
+            if blocks[k].tag != "h1" or stands[k] != OWN:  # a note's headline is no furniture, however short and common
+                run[k].append(at)
+    opening, slots = [], []
+    beside = lambda k: [place("open", blocks[k].tag, *words[k][:1]), place("whole", units[k])]
+    for k, stand in enumerate(stands):
+        opening.append(([place("site", site, *words[k][:1])], [place("all", *words[k][:1])]) if stand == PARAGRAPH and words[k] else ([], []))
+        slots.append(sorted({x for j in (k - 1, k, k + 1) if 0 <= j < len(blocks) for x in beside(j)}) if stand == OUTSIDE else [])
+    return [(key, times[at] > 1) for key, at in number.items()], run, opening, slots
+
+
+def judged_pages(docs: DataFrame, min_tokens: int = 16) -> DataFrame:
+    """(document_id, site, keys, lines) of each (document_id, site, text, content): the page's suffix keys, and the
+    places of the keys that judge each non-blank line."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for d, p, text, content in zip(pdf["document_id"], pdf["pool"], pdf["text"], pdf["content"]):
-                lines = text.split("\n")
-                main, blocks = judge(lines, content)
-                keys, touched = page_suffixes(p, blocks, min_tokens)
-                rows.append((d, keys, [{"line_no": i, "at": sorted(touched[i])} for i in range(len(lines)) if not main[i] and lines[i].strip()]))
+            for d, s, text, content in zip(pdf["document_id"], pdf["site"], pdf["text"], pdf["content"]):
+                all_lines = text.split("\n")
+                stands, blocks = judge(all_lines, content)
+                full = [i for i, x in enumerate(all_lines) if x.strip()]
+                keys, covered, opening, slots = page_suffixes(s, [stands[i] for i in full], [blocks[i] for i in full], min_tokens)
+                rows.append((d, s, keys, [(i, covered[k], *opening[k], slots[k]) for k, i in enumerate(full)]))
             yield pd.DataFrame(rows, columns=PAGES.names)
 
-    return spread(docs.select("document_id", "pool", "text", "content")).mapInPandas(run, PAGES)
+    return spread(docs.select("document_id", "site", "text", "content")).mapInPandas(run, PAGES)
 
 
 def family(host):
@@ -263,20 +295,33 @@ def family(host):
     return F.regexp_extract(F.coalesce(host, F.lit("")), r"([^.]+\.[^.]+)$", 1)
 
 
-def pooled(docs: DataFrame, small_site: int = 40) -> DataFrame:
-    """docs with the pool in which suffixes are compared: the site, or one pool of the sites with few pages."""
+def once(n, twice, n_pages, share: float, evidence: float):
+    """Whether an opening in n of n_pages pages, in `twice` of them more than once, stands once a page by design."""
+    rate = -F.log1p(-F.least(n / n_pages, F.lit(1 - 1e-9)))
+    by_chance = n_pages * (1 - F.exp(-rate) * (1 + rate))
+    return (n >= share * n_pages) & (twice <= 0.02 * n) & (by_chance >= evidence)
+
+
+def judged(docs: DataFrame, min_tokens: int = 16, min_pages: int = 2, run_share: float = 0.05, opening_share: float = 0.1, evidence: float = 5.0) -> DataFrame:
+    """(document_id, line_no, reason) of each line outside the main content; reason: long_repeat, template_opening or slot."""
     rows = docs.where(F.col("text").isNotNull()).select("document_id", family(F.col("host")).alias("site"), "text", "content")
-    pages = rows.select("site", "document_id").groupBy("site").agg(F.count("*").alias("n_pages"))
-    return rows.join(bounded(pages), "site").withColumn("pool", F.when(F.col("n_pages") >= small_site, F.col("site")).otherwise(F.lit("\1")))
+    pages = cut(judged_pages(rows, min_tokens))
+    sites = bounded(pages.groupBy("site").agg(F.count("*").alias("site_pages")))
+    every = pages.agg(F.count("*").alias("all_pages"))
+    counts = pages.select(F.explode("keys").alias("k")).groupBy(F.col("k.key").alias("key")).agg(F.count("*").alias("n"), F.sum(F.col("k.twice").cast("bigint")).alias("twice")).where(F.col("n") >= min_pages)
+    lines = pages.select("document_id", "site", "keys", F.explode("lines").alias("line"))
+    use = lambda k, c: F.transform(f"line.{c}", lambda i: F.struct(F.lit(k).alias("use"), F.get("keys", i)["key"].alias("key")))
+    uses = F.concat(*[use(k, c) for k, c in enumerate(("runs", "opening_site", "opening_all", "slots"))])
+    each = lines.select("document_id", "site", F.col("line.line_no").alias("line_no"), F.explode(uses).alias("u")).select("document_id", "site", "line_no", "u.use", "u.key")
+    hit = each.join(counts, "key").join(sites, "site").crossJoin(F.broadcast(every))  # `every` is one row
+    test = lambda total: once(F.col("n"), F.col("twice"), F.col(total), opening_share, evidence)
+    holds = F.when(F.col("use") == 0, F.col("n") >= run_share * F.col("site_pages")).when(F.col("use") == 1, test("site_pages")).when(F.col("use") == 2, test("all_pages")).otherwise(F.lit(True))
+    return hit.where(holds).groupBy("document_id", "line_no").agg(F.min("use").alias("use")).select("document_id", "line_no", F.get(F.array(*map(F.lit, ("long_repeat", "template_opening", "template_opening", "slot"))), F.col("use")).alias("reason"))
 
 
-def found(docs: DataFrame, min_tokens: int = 3, min_pages: int = 2) -> DataFrame:
-    """(document_id, line_no): lines covered by repeated substrings that the exact check finds outside the main content."""
-    pages = cut(judged_pages(pooled(docs), min_tokens))
-    repeated = pages.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key")
-    lines = pages.select("document_id", "keys", F.explode("lines").alias("line"))
-    each = lines.select("document_id", F.col("line.line_no").alias("line_no"), F.explode(F.transform("line.at", lambda i: F.get("keys", i))).alias("key"))
-    return each.join(repeated, "key", "left_semi").select("document_id", "line_no").distinct()
+def found(docs: DataFrame, **kw) -> DataFrame:
+    """(document_id, line_no): the lines outside the main content."""
+    return judged(docs, **kw).select("document_id", "line_no")
 
 
 def bodies(docs: DataFrame, **kw) -> DataFrame:
@@ -288,18 +333,19 @@ def bodies(docs: DataFrame, **kw) -> DataFrame:
 
 
 def page_text(content: str | None) -> str | None:
-    """The main body of a page as text: headings as `# `, list entries and table rows as `- `."""
+    """All blocks of a page as lines: headings as `# `, list entries and table rows as `- `."""
     if content is None:
         return None
     mark = lambda b: "# " if b.tag in HEADINGS - {"h1"} else "- " if b.tag in ("li", "td", "th") else ""
-    return "\n".join(mark(b) + b.text for b in read_page(content) if b.main)
+    return "\n".join(mark(b) + b.text for b in read_page(content))
 
 
 def page_bodies(pages: DataFrame) -> DataFrame:
-    """(path, body) of each distinct (path, content)."""
+    """(path, body) of each distinct (path, host, content): the main body of the page, read from its blocks."""
 
     @F.pandas_udf(T.StringType())
     def run(col: pd.Series) -> pd.Series:
         return col.map(page_text)
 
-    return spread(pages.select("path", "content").dropDuplicates()).select("path", run("content").alias("body"))
+    blocks = spread(pages.select("path", "host", "content").dropDuplicates(["path"])).select(F.col("path").alias("document_id"), "host", run("content").alias("text"), "content")
+    return bodies(cut(blocks)).withColumnRenamed("document_id", "path")

@@ -88,7 +88,7 @@ def p5_bodies(spark, sf):
 
 
 def p5_pages(spark, sf):
-    paths = table(spark, sf, "scrape_results").where("raw_html_path IS NOT NULL").select(F.col("raw_html_path").alias("path")).distinct()
+    paths = table(spark, sf, "scrape_results").where("raw_html_path IS NOT NULL").groupBy(F.col("raw_html_path").alias("path")).agg(F.min(url_host("url")).alias("host"))
     return page_body.page_bodies(paths.join(table(spark, sf, "page_files").select("path", "content"), "path")).withColumnRenamed("path", "raw_html_path")
 
 
