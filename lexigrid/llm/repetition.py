@@ -1,7 +1,7 @@
 """Problem 6: repetition inside a single document.
 
 Method: line sequence labelling. Each text is cut into its lines, those into sentences and those into pieces of at
-most two windows of words; a linear-chain conditional random field labels the pieces content (0) or repetition (1)
+most two windows of words, also where three-word sequences begun earlier start or end; a linear-chain conditional random field labels the pieces content (0) or repetition (1)
 by Viterbi decoding. It sees no five-word windows: its features are the shares of a piece's words inside
 two-word and three-word sequences begun earlier in the text, whether all of them are, whether the piece's wording
 is a copy of an earlier piece, and whether it is short; what its neighbours are, the transitions carry.
@@ -82,11 +82,12 @@ def viterbi(emission: np.ndarray, stay: float) -> np.ndarray:
 FEATURES = ("bias", "two", "three", "full", "copy", "short")
 
 
-def pieces(text: str, ws: list[tuple[str, int]], window: int = WINDOW) -> np.ndarray:
-    """The place of the first word of each piece: a sentence of a line, cut after every two windows of words."""
+def pieces(text: str, ws: list[tuple[str, int]], inner: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The place of the first word of each piece: a sentence of a line, cut after every two windows of words and where
+    `inner` (words in three-word sequences begun earlier) changes."""
     ends = np.array([m.end() for m in SEGMENT.finditer(text) if m.end() > m.start()], dtype=np.int64)
     seg = np.searchsorted(ends, np.array([p for _, p in ws]), side="right")
-    start = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (inner[1:] != inner[:-1])]))
     inside = np.arange(len(ws)) - np.repeat(start, np.diff(np.append(start, len(ws))))
     return np.flatnonzero(inside % (2 * window) == 0)
 
@@ -97,9 +98,10 @@ def features(text: str | None, window: int = WINDOW):
     if not ws:
         return [], np.zeros(0, dtype=np.int64), np.zeros((0, len(FEATURES)))
     plain = [w for w, _ in ws]
-    first = pieces(text, ws, window)
+    two, three = repeated(plain, 2), repeated(plain, 3)
+    first = pieces(text, ws, three, window)
     size = np.diff(np.append(first, len(ws)))
-    share = [np.add.reduceat(repeated(plain, k).astype(np.int64), first) / size for k in (2, 3)]
+    share = [np.add.reduceat(x.astype(np.int64), first) / size for x in (two, three)]
     seen: set[tuple[str, ...]] = set()
     copy = np.zeros(len(first))
     for k, (at, n) in enumerate(zip(first, size)):

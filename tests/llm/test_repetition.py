@@ -48,7 +48,8 @@ def test_labels_decide(spark):
 def test_pieces():
     text = "one two three. four five\nsix " + "w " * 25
     ws = R.words(text)
-    assert R.pieces(text, ws).tolist() == [0, 3, 5, 15, 25]
+    inner = R.repeated([w for w, _ in ws], 3)
+    assert R.pieces(text, ws, inner * False).tolist() == [0, 3, 5, 15, 25] and R.pieces(text, ws, inner).tolist() == [0, 3, 5, 7, 17, 27]
     assert R.train([]) == R.WEIGHTS and R.train(["a b c"]) == R.WEIGHTS
 
 
