@@ -1,31 +1,38 @@
 """Problem 3: markup residue in text.
 
-Method: equivalence-class template deduction over the marker tokens of same-host texts. A lexer reads each
-text into marker tokens (tags without attributes, character references, brackets, emphasis and formula
-marks, commands). Tokens of a host whose occurrence vectors (how often in which text) agree form a class; a
-class is valid where its tokens keep one order and nest in every text. Valid classes are nested into the
-template of a text; what stands between their tokens are its slots. A text has residue of a kind if a class
-of that kind occurs in it; `clean` takes the markers out and keeps headings, lists, code and formulas.
-
-Each marker belongs to one class (of its own, if no other shares its vector), so classes lose no marker;
-classes that don't nest are kept as residue of unpaired markers. Vectors are compared by two order-free
-64-bit sums, so a token that stands in a third of all texts is never gathered in one task.
+Method: equivalence-class template deduction over the marks of same-host texts. A lexer reads each text into loose marks:
+everything that opens or closes markup by its form (`<name>`, `**` before or after a word, `[`, `](`, `{{`, `$`, ...),
+whether or not it has a partner, and signs that are markup by themselves (character references, commands, rules).
+As in plain text the same signs stand for themselves, the occurrences of one sign are told apart by role, in context: those that
+open and close around one slot, and those without a partner.
+
+Marks of a host whose occurrence vectors (how often in which text) agree form a class. A class is valid for a mark
+if it also holds the mark's other end and both nest in every text, or if the mark needs no other end. Only marks of valid
+classes are residue: an unknown element counts because `<x>` and `</x>` share their vector and nest, `<3`, `$4.99` and
+`[sic]` don't because nothing closes them. Valid classes are nested into the template of a host by the spans of their
+marks in each text; what stands between the marks of the template are the slots. A text has residue of a kind if
+a mark of that kind in a valid class occurs in it; `clean` takes the markers out and keeps headings, lists, code and formulas.
+
+Vectors are compared by two order-free 64-bit sums, so a mark that stands in a third of all texts is never gathered in
+one task.
 
 What is no residue: heading marks `#` and bullet marks at the start of a line, arrows, and signs and figures
 in plain use (`<3`, `a > b`, `2 * 3`, `$4.99 or $6.99`, `net_graph_1`, `C:\\Games`, `R&D`).
 
-Defined results: null, empty and blank texts have no markers; a null host is a host of its own; a row
-delivered twice counts once; an unclosed marker counts as residue only if its opening part alone is certain.
+Defined results: null, empty and blank texts have no marks; a null host is a host of its own; a row
+delivered twice counts once; a lone tag with a name of HTML is residue, one with another name isn't.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.window import Window
 
 from lexigrid.session import bounded, cut, spread
 
@@ -97,8 +104,45 @@ def spans(pat: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
         at = max(b, a + 1)
 
 
-def tokens(text: str | None) -> list[tuple[int, int, str, str, str]]:
-    """(start, end, kind, name, token) of the markers of a text, not overlapping, in order."""
+#: Names whose match is a slot with an opening and a closing mark.
+ENDS = {
+    ("markdown", "image"), ("markdown", "link"), ("markdown", "reference"), ("markdown", "code"), ("markdown", "strong"), ("markdown", "strike"), ("markdown", "emphasis"),
+    ("wiki", "link"), ("wiki", "external"), ("wiki", "template"), ("wiki", "heading"), ("wiki", "bold"), ("latex", "display"), ("latex", "formula"),
+}
+
+#: Openings and closings by form alone, by (kind, name).
+LOOSE = {
+    ("markdown", "strong"): (r"\*\*(?=[^\s*])", r"(?<=[^\s*])\*\*"), ("markdown", "emphasis"): (r"(?<![\w*\\_])[*_](?=[^\s*_])", r"(?<=[^\s*_])[*_](?![\w*_])"),
+    ("markdown", "strike"): (r"~~(?=\S)", r"(?<=\S)~~"), ("markdown", "code"): (r"`(?=\S)", r"(?<=\S)`"), ("markdown", "link"): (r"\[(?=\S)", r"(?<=\S)\](?!\])"),
+    ("wiki", "link"): (r"\[\[", r"\]\]"), ("wiki", "template"): (r"\{\{", r"\}\}"), ("wiki", "bold"): (r"''+(?=\w)", r"(?<=\w)''+"), ("latex", "formula"): (r"\$(?=\S)", r"(?<=\S)\$"),
+}
+LOOSE_RE = {k: tuple(re.compile(x) for x in v) for k, v in LOOSE.items()}
+ELEMENT = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)(?:\s[^<>]*)?/?>")
+
+
+def _nested(found: list[tuple[int, int, bool, str]]) -> set[int]:
+    """The places in `found` (start, end, closing, name) of the elements that open and close, nested."""
+    stack: list[int] = []
+    opened: Counter = Counter()
+    out: set[int] = set()
+    for i, (_, _, closing, name) in enumerate(found):
+        if not closing:
+            stack.append(i)
+            opened[name] += 1
+        elif opened[name]:
+            while True:
+                at = stack.pop()
+                opened[found[at][3]] -= 1
+                if found[at][3] == name:
+                    break
+            out |= {i, at}
+    return out
+
+
+def marks(text: str | None) -> list[tuple[int, int, str, str, str, str, bool]]:
+    """(start, end, kind, label, mark, end of the slot, nests) of the loose marks of a text, in order.
+
+    The end is 'open', 'close' or 'one' (needs no other); nests: it opens or closes a slot, or needs no other."""
     if not text or not SIGNS.search(text):
         return []
     taken = bytearray(len(text))
@@ -114,11 +158,42 @@ def tokens(text: str | None) -> list[tuple[int, int, str, str, str]]:
                         taken[i] = 1
                 else:
                     taken[a:b] = b"\1" * (b - a)
-                out.append((a, b, kind, name, _token(kind, name, text[a:b])))
+                label = _token(kind, name, text[a:b])
+                if (kind, name) in ENDS:
+                    w = edges or 1
+                    out += [(a, a + w, kind, label, label + "(", "open", True), (b - w, b, kind, label, label + ")", "close", True)]
+                else:
+                    out.append((a, b, kind, label, label, "one", True))
     # character references that spell out a tag are inside no other token, as they come first in the grammar
+    elements = [(m.start(), m.end(), bool(m[1]), m[2].lower()) for m in ELEMENT.finditer(text) if not taken[m.start()]] if "<" in text else []
+    pairs = _nested(elements)
+    for i, (a, b, closing, name) in enumerate(elements):
+        out.append((a, b, "html", f"<{name}>" if i in pairs else f"<{name}>~", f"<{'/' if closing else ''}{name}>" + ("" if i in pairs else "~"), "close" if closing else "open", i in pairs))
+        taken[a:b] = b"\1" * (b - a)
+    for (kind, name), both in LOOSE_RE.items():
+        for end, pat in zip(("open", "close"), both):
+            for m in pat.finditer(text):
+                if not taken[m.start()] and not taken[m.end() - 1]:
+                    label = f"{kind}:{name}~"
+                    out.append((m.start(), m.end(), kind, label, label + "()"[end == "close"], end, False))
     return sorted(out)
 
 
+def tokens(text: str | None) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, mark) of the marks that are residue if the text is a host of its own."""
+    found = marks(text)
+    ends: dict[str, set[str]] = {}
+    times: Counter = Counter(m[4] for m in found)
+    for m in found:
+        ends.setdefault(m[3], set()).add(m[5])
+    valid = {m[3] for m in found if m[6] and (m[5] == "one" or ends[m[3]] >= {"open", "close"})}
+    for label in [x for x in valid if ends[x] >= {"open", "close"}]:
+        n = {times[m[4]] for m in found if m[3] == label}
+        if len(n) > 1:
+            valid.discard(label)
+    return [(a, b, kind, mark) for a, b, kind, label, mark, _, nests in found if nests and label in valid]
+
+
 def _token(kind: str, name: str, raw: str) -> str:
     """The marker's identity over texts: a tag's name, a command's name, otherwise the pattern's name."""
     if name in ("tag", "ref"):
@@ -131,77 +206,93 @@ def _token(kind: str, name: str, raw: str) -> str:
 
 
 OCC = T.StructType(
-    [T.StructField("text_id", T.StringType()), T.StructField("host", T.StringType()), T.StructField("token", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]
+    [T.StructField(x, T.StringType()) for x in ("text_id", "host", "kind", "label", "token", "end")]
+    + [T.StructField(x, T.IntegerType()) for x in ("n", "first", "last")]
+    + [T.StructField("nests", T.BooleanType())]
 )
+SIGNED = r"[<&\[{$`\\*~=|_']"
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(text_id, host, token, kind, n, first, last) of each marker of (text_id, host, text)."""
+    """(text_id, host, kind, label, token, end, n, first, last, nests) of each loose mark of (text_id, host, text)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i, h, t in zip(pdf["text_id"], pdf["host"], pdf["text"]):
-                seen: dict[tuple[str, str], list[int]] = {}
-                for a, _, kind, _, tok in tokens(t):
-                    seen.setdefault((tok, kind), []).append(a)
-                rows += [(i, h, tok, kind, len(at), at[0], at[-1]) for (tok, kind), at in seen.items()]
+                seen: dict[tuple, list] = {}
+                for a, _, kind, label, mark, end, nests in marks(t):
+                    x = seen.setdefault((kind, label, mark, end), [0, a, a, True])
+                    x[0], x[2], x[3] = x[0] + 1, a, x[3] and nests
+                rows += [(i, h, *k, *x) for k, x in seen.items()]
             yield pd.DataFrame(rows, columns=OCC.names)
 
-    marked = texts.where(F.col("text").rlike(r"[<&\[{$`\\*~=|_']"))
+    marked = texts.where(F.col("text").rlike(SIGNED))
     return spread(marked.select("text_id", "host", "text")).mapInPandas(run, OCC)
 
 
 def classes(occ: DataFrame) -> DataFrame:
-    """(host, token, kind, class_id, n_texts, n): tokens of a host with one occurrence vector share a class.
+    """(host, token, kind, label, end, class_id, n_texts, n, valid): marks of a host with one occurrence vector share a class.
 
-    The vector of a token is the multiset of (text, how often): two order-free sums of 64-bit hashes.
+    The vector of a mark is the multiset of (text, how often): two order-free sums of 64-bit hashes. valid: the class
+    holds both ends of the mark's slot and they nest in every text, or the mark needs no other end.
     """
     h = lambda salt: F.sum(F.xxhash64(F.lit(salt), "text_id", "n").cast("decimal(38,0)"))
-    vec = occ.groupBy("host", "token", "kind").agg(h(1).alias("v1"), h(2).alias("v2"), F.count("*").alias("n_texts"), F.sum("n").alias("n"))
-    return vec.select("host", "token", "kind", F.md5(F.concat_ws("|", F.coalesce("host", F.lit("\0")), F.col("v1").cast("string"), F.col("v2").cast("string"))).alias("class_id"), "n_texts", "n")
-
-
-def template(occ: DataFrame) -> DataFrame:
-    """(host, class_id, tokens, kinds, n_texts, valid): each class with its tokens in order of first place.
-
-    valid: in every text the tokens' first places keep one order and their last places close in the reverse
-    order or stay apart (they nest); found by comparing each text's order with the class's through hashes.
-    """
-    c = classes(occ)
-    both = occ.join(c.select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("kind").alias("k"), "class_id"), F.col("host").eqNullSafe(F.col("h")) & (F.col("token") == F.col("t")) & (F.col("kind") == F.col("k")))
-    ordered = F.array_sort(F.collect_list(F.struct("first", "token", "last", "kind")))
-    per_text = both.groupBy("host", "class_id", "text_id").agg(ordered.alias("o"))  # as wide as the marker kinds of a text
-    nest = F.forall(F.sequence(F.lit(0), F.size("o") - 1), lambda i: F.forall(F.sequence(F.lit(0), F.size("o") - 1), lambda j: (i >= j) | (F.col("o")[j]["first"] > F.col("o")[i]["last"]) | (F.col("o")[j]["first"] >= F.col("o")[i]["first"])))
-    shaped = per_text.select("host", "class_id", F.transform("o", lambda x: x["token"]).alias("tokens"), F.array_sort(F.array_distinct(F.transform("o", lambda x: x["kind"]))).alias("kinds"), nest.alias("nests"))
-    return shaped.groupBy("host", "class_id", "kinds").agg(
-        F.min("tokens").alias("tokens"), F.count("*").alias("n_texts"), ((F.min("tokens") == F.max("tokens")) & F.min("nests")).alias("valid")
+    vec = occ.groupBy("host", "token", "kind", "label", "end").agg(h(1).alias("v1"), h(2).alias("v2"), F.count("*").alias("n_texts"), F.sum("n").alias("n"), F.min("nests").alias("nests"))
+    vec = vec.withColumn("class_id", F.md5(F.concat_ws("|", F.coalesce("host", F.lit("\0")), F.col("v1").cast("string"), F.col("v2").cast("string"))))
+    slot = Window.partitionBy("host", "class_id", "kind", "label")  # the marks of one label: at most its two ends
+    both = (F.count("*").over(slot) == 2) & F.min("nests").over(slot)
+    return vec.select("host", "token", "kind", "label", "end", "class_id", "n_texts", "n", F.when(F.col("end") == "one", F.col("nests")).otherwise(both).alias("valid"))
+
+
+def _with_classes(occ: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Occurrences with class_id and valid of their marks."""
+    c = kinds.select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("kind").alias("k"), "class_id", "valid")
+    return occ.join(bounded(c), F.col("host").eqNullSafe(F.col("h")) & (F.col("token") == F.col("t")) & (F.col("kind") == F.col("k"))).drop("h", "t", "k")
+
+
+def template(texts_occ: DataFrame) -> DataFrame:
+    """(host, class_id, tokens, kinds, n_texts, n, parent): the valid classes of each host with their marks in order of
+    first place, nested: parent is the valid class with the narrowest span that holds the class in every text in which both
+    occur and that occurs wherever it does; null at the top."""
+    occ = cut(texts_occ)
+    marked = _with_classes(occ, classes(occ)).where("valid")
+    span = marked.groupBy("host", "class_id", "text_id").agg(F.min("first").alias("a"), F.max("last").alias("b"), F.array_sort(F.collect_list(F.struct("first", "token", "kind", "n"))).alias("o"))
+    span = cut(span)
+    cls = span.groupBy("host", "class_id").agg(
+        F.min(F.transform("o", lambda x: x["token"])).alias("tokens"), F.array_sort(F.array_distinct(F.min(F.transform("o", lambda x: x["kind"])))).alias("kinds"), F.count("*").alias("n_texts"), F.sum(F.aggregate("o", F.lit(0), lambda s, x: s + x["n"])).alias("n")
     )
+    inner = span.select("text_id", "host", "class_id", "a", "b")
+    outer = span.select(F.col("text_id").alias("t"), F.col("class_id").alias("parent"), F.col("a").alias("pa"), F.col("b").alias("pb"))
+    # within one text: as many rows as it has pairs of marks of different kinds, whatever its length
+    held = inner.join(outer, (F.col("text_id") == F.col("t")) & (F.col("pa") < F.col("a")) & (F.col("pb") > F.col("b")))
+    width = held.groupBy("host", "class_id", "parent").agg(F.count("*").alias("m"), F.avg(F.col("pb") - F.col("pa")).alias("w"))
+    always = width.join(cls.select(F.col("class_id").alias("c"), "n_texts"), (F.col("class_id") == F.col("c")) & (F.col("m") == F.col("n_texts")))
+    best = always.groupBy("class_id").agg(F.min(F.struct("w", "parent"))["parent"].alias("parent"))
+    return cls.join(best, "class_id", "left").select("host", "class_id", "tokens", "kinds", "n_texts", "n", "parent")
 
 
 def found(texts: DataFrame) -> DataFrame:
-    """(text_id, markup): each text with each kind of the classes that occur in it."""
+    """(text_id, markup): each text with each kind of its marks in valid classes."""
     occ = cut(occurrences(texts))
-    c = bounded(classes(occ).select(F.col("host").alias("h"), F.col("token").alias("t"), F.col("kind").alias("k"), "class_id"))
-    kinds = c.select("h", "class_id", F.col("k").alias("markup")).distinct()
-    in_text = occ.select("text_id", "host", "token", "kind").join(c, F.col("host").eqNullSafe(F.col("h")) & (F.col("token") == F.col("t")) & (F.col("kind") == F.col("k")))
-    typed = in_text.select("text_id", "class_id", "kind").distinct().join(kinds, "class_id").where(F.col("kind") == F.col("markup"))
-    return typed.select("text_id", "markup").distinct()
+    return _with_classes(occ, classes(occ)).where("valid").select("text_id", F.col("kind").alias("markup")).distinct()
 
 
 SLOT = T.StructType([T.StructField("text_id", T.StringType()), T.StructField("slot_no", T.IntegerType()), T.StructField("after", T.StringType()), T.StructField("before", T.StringType()), T.StructField("text", T.StringType())])
 
 
 def slots(texts: DataFrame) -> DataFrame:
-    """(text_id, slot_no, after, before, text): what stands between the markers of each marked text, with the
-    markers on either side (null at the text's ends); slots of white space alone are left out."""
+    """(text_id, slot_no, after, before, text): what stands between the marks of the host's valid classes in each text, with
+    the marks on either side (null at the text's ends); slots of white space alone are left out."""
+    occ = cut(occurrences(texts))
+    valid = _with_classes(occ, classes(occ)).where("valid").groupBy("text_id").agg(F.collect_set("token").alias("valid"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, t in zip(pdf["text_id"], pdf["text"]):
-                toks = tokens(t)
-                ends = [(0, 0, None), *[(a, b, tok) for a, b, _, _, tok in toks], (len(t), len(t), None)] if toks else []
+            for i, t, tokens_ in zip(pdf["text_id"], pdf["text"], pdf["valid"]):
+                keep = set(tokens_)
+                ends = [(0, 0, None), *[(a, b, mark) for a, b, _, _, mark, _, _ in marks(t) if mark in keep], (len(t), len(t), None)]
                 n = 0
                 for (_, a, left), (b, _, right) in zip(ends, ends[1:]):
                     if t[a:b].strip():
@@ -209,8 +300,8 @@ def slots(texts: DataFrame) -> DataFrame:
                         n += 1
             yield pd.DataFrame(rows, columns=SLOT.names)
 
-    marked = texts.where(F.col("text").rlike(r"[<&\[{$`\\*~=|_']"))
-    return spread(marked.select("text_id", "text")).mapInPandas(run, SLOT)
+    marked = texts.where(F.col("text").rlike(SIGNED)).select("text_id", "text").join(valid, "text_id")
+    return marked.mapInPandas(run, SLOT)
 
 
 def _unwrap(pattern: str, t: str) -> str:

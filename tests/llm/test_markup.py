@@ -7,9 +7,9 @@ RESIDUE = [
     ("**a b**", {"markdown"}), ("__a__ b", {"markdown"}), ("`x`", {"markdown"}), ("~~x~~", {"markdown"}), ("[a](https://b.c/d)", {"markdown"}), ("[a][3]", {"markdown"}), ("![a](/b.png)", {"markdown"}), ("- [x] a", {"markdown"}), ("|---|---|", {"markdown"}), ("```\nx\n```", {"markdown"}),
     ("[[a|b]]", {"wiki"}), ("{{ai|b}}", {"wiki"}), ("'''b'''", {"wiki"}), ("''b''", {"wiki"}), ("== a ==", {"wiki"}), ("[https://a.b/c d]", {"wiki"}), ("{| class=\"wikitable\"\n|-\n|}", {"wiki"}),
     ("\\section{A}", {"latex"}), ("\\textbf{a}", {"latex"}), ("$D = 8 + \\frac{3}{10} \\times L$", {"latex"}), ("\\(x_{1} \\leq 2\\)", {"latex"}), ("\\begin{itemize}\n\\item a\n\\end{itemize}", {"latex"}), ("5\\% \\rightarrow 6\\%", {"latex"}),
-    ("**a** <i>b</i> [[c]]", {"markdown", "html", "wiki"}),
+    ("**a** <i>b</i> [[c]]", {"markdown", "html", "wiki"}), ("<x-note>a</x-note>", {"html"}),
 ]
-PLAIN = ["# Head", "- item", "* item", "• item", "a <3", "x >_< y", "a > 12 and b > 9", "2 * level + 8", "* not in every region", "$4.99 instead of $6.99", "net_graph_15", "C:\\Games\\Fazar\\logs", "R&D & more", "100% => 150% -> 3 → 4", "HP < 40% of", "x ~ the quiet one ~", "a | b | c", "d'accord l''", "", " ", None, "a *", "f(x)[0]", "[sic] (x)"]
+PLAIN = ["# Head", "- item", "* item", "• item", "a <3", "x >_< y", "a > 12 and b > 9", "2 * level + 8", "* not in every region", "$4.99 instead of $6.99", "net_graph_15", "C:\\Games\\Fazar\\logs", "R&D & more", "100% => 150% -> 3 → 4", "HP < 40% of", "x ~ the quiet one ~", "a | b | c", "d'accord l''", "", " ", None, "a *", "f(x)[0]", "[sic] (x)", "<Name> wins", "</x> <x>", "a ** b **c", "`a", "{{a", "]] [["]
 
 
 @pytest.mark.parametrize("text,kinds", RESIDUE)
@@ -43,19 +43,44 @@ def test_found_and_template(spark):
     df = spark.createDataFrame(rows, "text_id string, host string, text string").dropDuplicates()
     assert sorted(map(tuple, M.found(df).collect())) == [("1", "html"), ("3", "html"), ("3", "markdown"), ("4", "wiki"), ("6", "html")]
     assert M.found(df.limit(0)).collect() == []
-    two = M.template(M.occurrences(df.where("text_id in ('1', '3')"))).collect()
-    assert {(tuple(r.tokens), r.valid) for r in two} == {(("<b>", "</b>"), True), (("markdown:strong",), True)}
+    rows = M.template(M.occurrences(df.where("text_id in ('1', '3')"))).collect()
+    got = {tuple(r.tokens): r for r in rows}
+    assert set(got) == {("<b>", "</b>"), ("markdown:strong(", "markdown:strong)")} and all(r.parent is None for r in rows)
+
+
+def test_classes_decide(spark):
+    """Marks without a partner are lexed and refused by their classes, on a host where others are paired."""
+    rows = [("1", "h", "**a** $4.99 [sic]"), ("2", "h", "a **b and [c"), ("3", "h", "<x>a</x>"), ("4", "h", "a <x> b"), ("5", "h", "</x> <x>")]
+    df = spark.createDataFrame(rows, "text_id string, host string, text string")
+    occ = M.occurrences(df)
+    assert {r.text_id for r in occ.select("text_id").distinct().collect()} == {"1", "2", "3", "4", "5"}
+    assert sorted(map(tuple, M.found(df).collect())) == [("1", "markdown"), ("3", "html")]
+    refused = {r.token for r in M.classes(occ).where("NOT valid").collect()}
+    assert {"latex:formula~(", "markdown:strong~(", "<x>~", "</x>~"} <= refused
+
+
+def test_nested_template(spark):
+    rows = [(str(i), "h", f"<x><y>{i}</y> **b{i}**</x>") for i in range(3)]
+    df = spark.createDataFrame(rows, "text_id string, host string, text string")
+    # all marks stand once in each text: one class, from which the slots follow
+    (one,) = M.template(M.occurrences(df)).collect()
+    assert one.tokens == ["<x>", "<y>", "</y>", "markdown:strong(", "markdown:strong)", "</x>"] and one.n_texts == 3
+    more = df.unionByName(spark.createDataFrame([("9", "h", "<x>z</x>")], df.schema))
+    got = {tuple(r.tokens): r for r in M.template(M.occurrences(more)).collect()}
+    inner, outer = got[("<y>", "</y>", "markdown:strong(", "markdown:strong)")], got[("<x>", "</x>")]
+    assert inner.parent == outer.class_id and outer.parent is None
 
 
 def test_slots(spark):
-    df = spark.createDataFrame([("1", "a <b>x</b>\n**y** z"), ("2", "plain"), ("3", None)], "text_id string, text string")
+    df = spark.createDataFrame([("1", "h", "a <b>x</b>\n**y** z"), ("2", "h", "plain [sic]"), ("3", "h", None)], "text_id string, host string, text string")
     got = [(r.slot_no, r.after, r.before, r.text) for r in M.slots(df).orderBy("slot_no").collect()]
-    assert got == [(0, None, "<b>", "a"), (1, "<b>", "</b>", "x"), (2, "markdown:strong", None, "z")]
+    assert got == [(0, None, "<b>", "a"), (1, "<b>", "</b>", "x"), (2, "markdown:strong(", "markdown:strong)", "y"), (3, "markdown:strong)", None, "z")]
 
 
 def test_long_and_deep():
     for text in ("\\(" + "x+" * 400 + "x\\)", "\\[" + "x\n" * 2000 + "\\]", "$x=" + "1+" * 400 + "1$"):
-        assert [t[:4] for t in M.tokens(f"a {text} b")] == [(2, 2 + len(text), "latex", "display" if text[1] == "[" else "formula")]
+        name = "latex:display" if text[1] == "[" else "latex:formula"
+        assert M.tokens(f"a {text} b") == [(2, 3, "latex", name + "("), (1 + len(text), 2 + len(text), "latex", name + ")")]
         assert M.clean(f"a {text} **b**") == f"a {text} b"
     assert M.clean("{{a|" * 6 + "x" + "}}" * 6) == "x" and M.clean("\\emph{" * 6 + "x" + "}" * 6) == "x"
     for pat in (p for k, n, p in M.COMPILED if (k, n) in (("latex", "display"), ("latex", "formula"))):
