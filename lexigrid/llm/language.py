@@ -12,7 +12,7 @@ rows, names, loose labels and phrases of up to three words are none. The languag
 least two sentences, or, where no language has two, the language of the longest sentence.
 
 All documents are read, each whole and in one row of a Python stage; no shuffle is needed. The broadcast model
-has at most `MAX_GRAMS` n-grams for each fitted language and does not grow with the data.
+has the n-grams of the sample, whole texts of it, and does not grow with the number of documents.
 
 Defined results: null, empty and blank texts and texts without a sentence have no language and are no cases; a
 label that is null, blank or names no language is missing; a label that can't be read as a language is missing
@@ -21,6 +21,7 @@ too; with no usable labelled row at all there is no model and no document has a
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -43,7 +44,6 @@ LANGUAGES = {
 _CODES = {x: k for k, v in LANGUAGES.items() for x in (k, *v.split())}
 NO_LANGUAGE = frozenset("xx und unknown zxx mul mis n/a na none null ? - qaa xxx other".split())
 
-MAX_GRAMS = 30_000
 ORDERS = (2, 3, 4)
 #: Overlapping n-grams count a letter several times; each counts this much.
 WEIGHT = 0.35
@@ -74,41 +74,60 @@ def normal_label(label: str | None) -> str | None:
     return _CODES.get(head)
 
 
-def _art(m: re.Match) -> str:
+def _drawn(t: str) -> bool:
     """Drawings of signs and emoji are no words and end no sentence."""
-    t = m.group()
-    return " " if sum(c.isalnum() for c in t) < 0.6 * len(t) else t
+    return sum(c.isalnum() for c in t) < 0.6 * len(t)
 
 
-def segments(text: str | None) -> list[str]:
-    """The sentences of a text, in order."""
+def sentences(text: str | None) -> list[tuple[str, list[str]]]:
+    """(sentence, its words in lower case) of a text, in order."""
     out = []
     if not text:
         return out
-    text = re.sub(r"\S{8,}", _art, text)
+    # most words hold only letters, perhaps with a sign at the end
+    if any([_drawn(w) for w in text.split() if len(w) >= 8 and not w[:-1].isalnum()]):
+        text = re.sub(r"\S{8,}", lambda m: " " if _drawn(m.group()) else m.group(), text)
     at = 0
-    cuts = [(m.start(), m.end()) for m in SPLIT.finditer(text)]
+    cuts = [m.span() for m in SPLIT.finditer(text)]
     for a, b in [*cuts, (len(text), len(text))]:
         piece = text[at:b].strip()
         at = b
         if not piece or not ENDED.search(piece):
             continue
-        n_cjk = len(CJK.findall(piece))
-        if n_cjk >= 8 or sum(len(set(w)) > 1 or len(w) == 1 for w in WORDS.findall(piece)) - n_cjk >= 4 and len(PROPER.findall(piece)) >= 2:
-            out.append(piece)
+        n_cjk = 0 if piece.isascii() else len(CJK.findall(piece))
+        words = WORDS.findall(piece.lower())
+        if n_cjk < 8:
+            need, names = 4 + n_cjk, 2
+            for w in words:
+                n = len(w)
+                need -= n == 1 or w.count(w[0]) < n
+                names -= n > 1 and w.isalpha()
+                if need <= 0 and names <= 0:
+                    break
+            else:
+                if need > 0 or len(PROPER.findall(piece)) < 2:
+                    continue
+        if words:
+            out.append((piece, words))
     return out
 
 
+def segments(text: str | None) -> list[str]:
+    """The sentences of a text, in order."""
+    return [s for s, _ in sentences(text)]
+
+
 def grams(word: str) -> list[str]:
     w = f" {word} "
     return [w[i : i + n] for n in ORDERS for i in range(len(w) - n + 1)] if len(word) > 1 or not CJK.match(word) else [word]
 
 
 class Model:
-    """Log-probabilities of n-grams by language."""
+    """Log-probabilities of n-grams by language: a matrix with a row for each n-gram, and a last one for unseen n-grams."""
 
-    def __init__(self, langs: list[str], table: dict[str, np.ndarray], floor: np.ndarray):
-        self.langs, self.table, self.floor = langs, table, floor
+    def __init__(self, langs: list[str], grams_: list[str], matrix: np.ndarray):
+        self.langs, self.grams, self.matrix = langs, grams_, matrix
+        self.at = {g: i for i, g in enumerate(grams_)}
         self.number: dict[str, int] = {}
         self.rows = np.zeros((1024, len(langs)))
 
@@ -123,55 +142,62 @@ class Model:
             at = self.number[w] = len(self.number)
             if at == len(self.rows):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            get, floor = self.table.get, self.floor
-            self.rows[at] = np.sum([get(g, floor) for g in grams(w)], axis=0) * WEIGHT
+            get, unseen = self.at.get, len(self.grams)
+            self.rows[at] = self.matrix[[get(g, unseen) for g in grams(w)]].sum(axis=0) * WEIGHT
         return at
 
-    def units(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The (words, languages) log-likelihoods of all texts, and the place after the last word of each."""
-        if len(self.number) > 300_000:  # bounds the words kept by a worker
+    def units(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The (words, languages) log-likelihoods of all lists of words, and the place of the first word of each."""
+        if len(self.number) > 300_000:  # bounds the words kept by a worker; they are computed again
             self.number, self.rows = {}, np.zeros((1024, len(self.langs)))
         ids: list[int] = []
-        ends = []
+        starts = []
         known = self.number
         for t in texts:
-            for w in WORDS.findall(t.lower()):
+            starts.append(len(ids))
+            for w in t:
                 at = known.get(w)
                 ids.append(self._number(w) if at is None else at)
-            ends.append(len(ids))
-        return self.rows[ids], np.array(ends)
+        return self.rows[ids], np.array(starts)
 
     @staticmethod
     def fit(texts: list[str], labels: list[str], rounds: int = 3) -> Model | None:
-        """n-gram probabilities by language; documents whose text speaks against their label move to the likelier one."""
+        """n-gram probabilities by language; documents whose text speaks against their label move to the likelier one.
+
+        A word that a text repeats counts 1 + log2 of its occurrences there, so that one text can't fill a language."""
         if not texts:
             return None
         counts = [Counter(WORDS.findall(t.lower())) for t in texts]
         y = list(labels)
         model = None
+        lam = 0.3
         for _ in range(rounds):
             langs = sorted(set(y))
-            words = {k: Counter() for k in langs}
+            words: dict[str, Counter] = {k: Counter() for k in langs}
             for c, k in zip(counts, y):
-                words[k].update({w: min(n, 20) for w, n in c.items()})
-            by = {k: Counter() for k in langs}
+                to = words[k]
+                for w, n in c.items():
+                    to[w] += 1 + math.log2(n)
+            by: dict[str, Counter] = {k: Counter() for k in langs}
             for k, ws in words.items():
+                to = by[k]
                 for w, n in ws.items():
                     for g in grams(w):
-                        by[k][g] += n
-            kept = {k: dict(c.most_common(MAX_GRAMS)) for k, c in by.items()}
-            vocab = set().union(*kept.values())
-            total = {k: sum(c.values()) for k, c in kept.items()}
-            lam = 0.3
-            floor = np.array([np.log(lam / (total[k] + lam * (len(vocab) + 1))) for k in langs])
-            table = {g: np.array([np.log((kept[k].get(g, 0) + lam) / (total[k] + lam * (len(vocab) + 1))) for k in langs]) for g in vocab}
-            model = Model(langs, table, floor)
-            new = [langs[int(np.argmax(sum((model.word(w) * n for w, n in c.items()), np.zeros(len(langs)))))] if c else k for c, k in zip(counts, y)]
+                        to[g] += n
+            vocab = sorted(set().union(*by.values()))
+            seen = np.array([[by[k].get(g, 0.0) for k in langs] for g in [*vocab, ""]])
+            model = Model(langs, vocab, np.log((seen + lam) / (seen.sum(axis=0) + lam * (len(vocab) + 1))))
+            new = [langs[int(np.argmax(model.score(c)))] if c else k for c, k in zip(counts, y)]
             if new == y:
                 break
             y = new
         return model
 
+    def score(self, counts: Counter) -> np.ndarray:
+        """The log-likelihoods of a bag of words by language."""
+        at = [self._number(w) for w in counts]
+        return np.array(list(counts.values()), dtype=float) @ self.rows[at]
+
 
 def em(like: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
     """(proportions, log-likelihood) of a mixture of the columns of a log-likelihood matrix."""
@@ -190,36 +216,64 @@ def em(like: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, float]:
     return pi, float(np.log(np.maximum(p @ pi, 1e-300)).sum() + top.sum())
 
 
+def best_share(ratio: np.ndarray, rounds: int = 6) -> tuple[float, float]:
+    """(share, gain): the share of a new language at which it raises the log-likelihood of a mixture most,
+    sum log(1 + share * (ratio - 1)) for the words' ratios of probabilities, by Newton steps kept inside the bracket
+    (it is concave), and by how much."""
+    d = ratio - 1
+    if d.sum() <= 0:
+        return 0.0, 0.0
+    low, high, x = 0.0, 0.999, 0.1
+    for _ in range(rounds):
+        g = d / (1 + x * d)
+        slope = float(g.sum())
+        low, high = (x, high) if slope > 0 else (low, x)
+        step = x + slope / max(float(g @ g), 1e-300)
+        x, before = step if low < step < high else (low + high) / 2, x
+        if abs(x - before) < 1e-4:
+            break
+    return x, float(np.log1p(x * d).sum())
+
+
 def language_set(like: np.ndarray, penalty: float = PENALTY) -> tuple[list[int], np.ndarray]:
-    """The columns whose mixture has the best penalised likelihood, grown one by one, and their proportions."""
-    full, _ = em(like)
+    """The columns whose mixture has the best penalised likelihood, grown one by one, and their proportions.
+
+    EM over all languages gives those with a share of the text; of them the one that raises the likelihood of the mixture so
+    far most is added while it gains more than the penalty, and EM estimates the proportions of the grown set."""
     chosen = [int(np.argmax(like.sum(axis=0)))]
-    pi, best = em(like[:, chosen])
-    rest = [int(i) for i in np.argsort(-full) if full[i] > 0.01 and i != chosen[0]]
+    full, _ = em(like)
+    pi = np.ones(1)
+    rest = [int(i) for i in np.flatnonzero(full > 0.01) if i != chosen[0]]
+    base = like[:, chosen[0]]
     while rest:
-        tried = [(em(like[:, [*chosen, i]]), i) for i in rest]
-        (p, ll), i = max(tried, key=lambda x: x[0][1])
-        if ll - best <= penalty:
+        tried = [(*best_share(np.exp(np.clip(like[:, i] - base, -50, 50))), i) for i in rest]
+        share, gain, i = max(tried, key=lambda x: x[1])
+        if gain <= penalty:
             break
-        chosen, pi, best = [*chosen, i], p, ll
+        chosen.append(i)
         rest.remove(i)
+        pi = np.array([1 - share, share]) if len(chosen) == 2 else em(like[:, chosen])[0]
+        if rest:
+            part = like[:, chosen]
+            top = part.max(axis=1)
+            base = top + np.log(np.maximum(np.exp(part - top[:, None]) @ pi, 1e-300))
     return chosen, pi
 
 
 def infer(model: Model, text: str | None, penalty: float = PENALTY) -> list[tuple[str, str, float]]:
     """(sentence, language, confidence) of each sentence of a text."""
-    sents = segments(text)
-    if not sents:
+    found_ = sentences(text)
+    if not found_:
         return []
-    like, ends = model.units(sents)
+    sents = [s for s, _ in found_]
+    like, starts = model.units([w for _, w in found_])
     chosen, pi = language_set(like, penalty)
     # a sentence the whole mixture leaves to a foreign language with a clear lead brings it into the set
-    total = np.concatenate([np.zeros((1, like.shape[1])), np.cumsum(like, axis=0)])[ends]
-    sums = np.diff(np.concatenate([np.zeros((1, like.shape[1])), total]), axis=0)
-    for k in range(sums.shape[1]):
-        lead = sums[:, k] - sums[:, chosen].max(axis=1)
-        if k not in chosen and (lead > penalty).sum() >= 2:
-            chosen, pi = [*chosen, k], np.append(pi, 0.01)
+    sums = np.add.reduceat(like, starts, axis=0)
+    clear = ((sums - sums[:, chosen].max(axis=1)[:, None]) > penalty).sum(axis=0) >= 2
+    for k in np.flatnonzero(clear):
+        if k not in chosen and ((sums[:, k] - sums[:, chosen].max(axis=1)) > penalty).sum() >= 2:
+            chosen, pi = [*chosen, int(k)], np.append(pi, 0.01)
     pi = np.maximum(pi, 1e-3)
     score = sums[:, chosen] + np.log(pi / pi.sum())
     best = np.argmax(score, axis=1)
@@ -252,13 +306,12 @@ SPOKEN = T.StructType(
 )
 
 
-def training_sample(docs: DataFrame, sample_per_label: int = 300, max_chars: int = 4000) -> tuple[list[str], list[str]]:
-    """A bounded sample for fitting: per readable label the documents first in hash order, and of each at most
-    max_chars of its sentences (for fitting only)."""
+def training_sample(docs: DataFrame, sample_per_label: int = 300) -> tuple[list[str], list[str]]:
+    """A bounded sample for fitting: per readable label the documents first in hash order, each whole."""
     sites = [F.when(F.lower(F.trim("lang")).isin([k, *v.split()]) | F.lower(F.trim("lang")).rlike(rf"^{k}[-_]"), k) for k, v in LANGUAGES.items()]
     labelled = docs.where("text IS NOT NULL AND length(text) >= 20").select(F.coalesce(*sites).alias("label"), "text").where("label IS NOT NULL")
     first = Window.partitionBy("label").orderBy(F.xxhash64("text"))
-    rows = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_label).select("label", F.expr(f"substring(text, 1, {max_chars})").alias("text")).collect()
+    rows = labelled.withColumn("n", F.row_number().over(first)).where(F.col("n") <= sample_per_label).select("label", "text").collect()
     rows = sorted((r.text, r.label) for r in rows)
     pairs = [(" ".join(segments(t)), k) for t, k in rows]
     pairs = [(t, k) for t, k in pairs if t]
@@ -269,11 +322,11 @@ def fit(docs: DataFrame, sample_per_label: int = 300) -> Model | None:
     return Model.fit(*training_sample(docs, sample_per_label))
 
 
-def spoken(docs: DataFrame, model: Model | None = None, sample_per_label: int = 300) -> DataFrame:
-    """(doc_id, label, languages, passages) of each distinct (doc_id, text, lang)."""
+def spoken(docs: DataFrame, model: Model | None = None, sample_per_label: int = 300, with_passages: bool = True) -> DataFrame:
+    """(doc_id, label, languages, passages) of each distinct (doc_id, text, lang); passages are null if not asked for."""
     docs = docs.select("doc_id", "text", "lang").dropDuplicates()
     model = model or fit(docs, sample_per_label)
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.table, model.floor) if model else None)
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.grams, model.matrix) if model else None)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *SPOKEN.fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,8 +336,8 @@ def spoken(docs: DataFrame, model: Model | None = None, sample_per_label: int =
             for d, text, lang in zip(pdf["doc_id"], pdf["text"], pdf["lang"]):
                 sents = infer(m, text) if m else []
                 langs = [{"lang": k, "n_sentences": n, "share": s, "confidence": c} for k, (n, s, c) in text_languages(sents).items()]
-                passages: list[dict] = []
-                for s, k, c in sents:
+                passages: list[dict] | None = [] if with_passages else None
+                for s, k, c in sents if with_passages else ():
                     if passages and passages[-1]["lang"] == k:
                         p = passages[-1]
                         p["confidence"] = (p["confidence"] * p["n_sentences"] + c) / (p["n_sentences"] + 1)
@@ -300,7 +353,7 @@ def spoken(docs: DataFrame, model: Model | None = None, sample_per_label: int =
 
 def found(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, lang): the languages of each text with a missing or wrong label or with several languages."""
-    s = spoken(docs, **kw).where(F.size("languages") > 0)
+    s = spoken(docs, with_passages=False, **kw).where(F.size("languages") > 0)
     case = F.col("label").isNull() | (F.size("languages") > 1) | ~F.exists("languages", lambda x: x["lang"] == F.col("label"))
     return s.where(case).select("doc_id", F.explode("languages.lang").alias("lang")).distinct()
 
@@ -312,4 +365,4 @@ def passages(docs: DataFrame, **kw) -> DataFrame:
 
 def languages(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, label, lang, n_sentences, share, confidence): every language of every text."""
-    return spoken(docs, **kw).select("doc_id", "label", F.explode("languages").alias("p")).select("doc_id", "label", "p.lang", "p.n_sentences", F.round("p.share", 6).alias("share"), F.round("p.confidence", 6).alias("confidence"))
+    return spoken(docs, with_passages=False, **kw).select("doc_id", "label", F.explode("languages").alias("p")).select("doc_id", "label", "p.lang", "p.n_sentences", F.round("p.share", 6).alias("share"), F.round("p.confidence", 6).alias("confidence"))

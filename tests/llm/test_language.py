@@ -66,3 +66,21 @@ def test_held_out_accuracy(spark):
             n += 1
             hit += L.normal_label(r.lang) in L.text_languages(s)
     assert hit / n > 0.88
+
+
+def test_best_share_against_grid():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    grid = np.linspace(0, 0.999, 2000)
+    for _ in range(50):
+        ratio = np.exp(rng.normal(0, 2, size=rng.integers(1, 60)))
+        best = max(float(np.log1p(x * (ratio - 1)).sum()) for x in grid)
+        _, gain = L.best_share(ratio)
+        assert abs(gain - max(best, 0)) < 1e-2 * max(1, best)
+
+
+def test_fit_reads_whole_texts():
+    """A word after thousands of others is known to the model; n-grams are not capped."""
+    m = L.Model.fit([EN * 60 + " zyxwv", DE], ["en", "de"])
+    assert "zyxw" in m.grams and m.word("zyxwv")[m.langs.index("en")] > m.word("zyxwv")[m.langs.index("de")]
