@@ -46,15 +46,25 @@ def output_id(c) -> Column:
     return safe_name(F.replace(F.when(p == "", "home").otherwise(p), F.lit("/"), F.lit("_")))
 
 
-#: Single path parts that are site pages and no themed pages.
-SITE_PAGES = ("home", "news", "patches", "store", "support", "forum", "heroes", "items", "watch", "ladder", "media", "login")
+#: Single path parts that are site pages and no themed pages, and openings of paths of site pages.
+SITE_PAGES = ("home", "news", "updates", "heroes", "items", "esports", "workshop", "store", "pastupdates", "patches", "play", "main", "leaderboards")
+SITE_PATHS = (
+    "/heroes", "/hero/", "/items", "/esports", "/workshop", "/store", "/news", "/patches", "/pastupdates", "/home", "/community", "/privacy", "/login", "/play", "/main", "/leaderboards",
+)
+
+
+def microsite(c) -> Column:
+    """A page of its own at the root of its host: one part without a dot, of three characters or more, that is no site page."""
+    parts = F.filter(F.split(F.lower(path(c)), "/"), lambda x: x != "")
+    one = F.concat(F.lit("/"), F.get(parts, 0))
+    site = F.get(parts, 0).isin(*SITE_PAGES)
+    for p in SITE_PATHS:
+        site = site | F.startswith(one, F.lit(p))
+    return (F.size(parts) == 1) & ~site & ~F.contains(one, F.lit(".")) & (F.length(one) >= 4)
 
 
 def kind(c, base_host: Column | None = None) -> Column:
     """newsentry, patch_page, microsite or null; null for other hosts than base_host."""
-    p = F.lower(path(c))
-    parts = F.filter(F.split(p, "/"), lambda x: x != "")
-    single = F.get(parts, 0)
-    micro = (F.size(parts) == 1) & ~single.isin(*SITE_PAGES) & ~F.contains(single, F.lit(".")) & (F.length(single) >= 3)
-    out = F.when(F.contains(p, F.lit("/newsentry/")), "newsentry").when(F.contains(p, F.lit("/patches/")) | F.contains(p, F.lit("/patch-")) | p.rlike(r"/patches$"), "patch_page").when(micro, "microsite")
+    p = path(c)
+    out = F.when(F.startswith(p, F.lit("/newsentry/")), "newsentry").when(F.startswith(p, F.lit("/patches/")) | (p == "/patches"), "patch_page").when(microsite(c), "microsite")
     return out if base_host is None else F.when(host(c) == F.lower(base_host), out)

@@ -11,10 +11,19 @@ from pyspark.sql.window import Window
 
 from lexigrid.functions import text as X
 
-#: Lines that are page furniture, compared in lower case without marks.
-NOISE_LINES = (
-    "back to top", "share", "copy link", "copied", "show more", "read more", "load more",
-    "home", "news", "heroes", "items", "store", "esports", "login", "logout", "(logout)", "patches", "gameplay updates", "previous updates", "select language", "play for free", "builds", "english",
+#: Lines of any text that are page furniture, compared in lower case without marks.
+NOISE_LINES = ("back to top", "share", "copy link", "copied", "show more", "read more", "load more")
+#: Closing lines of a site, which only give context.
+TRAILING_NOISE = (
+    "dota and the dota logo are trademarks and/or registered trademarks of valve corporation.",
+    "2025 valve corporation, all rights reserved.",
+    "dota and the dota logo are trademarks and/or registered trademarks of valve corporation. 2025 valve corporation, all rights reserved.",
+)
+#: Furniture of rendered pages.
+RENDERED_NOISE = (
+    "home", "news", "heroes", "items", "store", "esports", "login", "logout", "(logout)", "patches", "gameplay updates", "previous updates", "select language", "play for free", "builds",
+    "steam guides", "view hero detail page", "english",
+    *TRAILING_NOISE,
 )
 #: Headings that only give context.
 CONTEXT_HEADINGS = (
@@ -51,7 +60,7 @@ NOT_BLANK = r"[^\t-\r\x{85}\p{Z}]"
 UNIT_TYPES = ("context_only_short_unit", "stat_or_list_line", "prose_sentence")
 
 
-def clean_lines(text: Column, noise=NOISE_LINES) -> Column:
+def clean_lines(text: Column, noise=(*NOISE_LINES, *RENDERED_NOISE)) -> Column:
     """The cleaned lines of a text: image lines and furniture dropped, of equal neighbours only the first kept."""
     raw = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda x: ~(F.contains(x, F.lit("![")) & x.rlike(X.MD_IMAGE)))
     lines = X.clean_each(raw)
@@ -98,16 +107,17 @@ def line_facts(lines: Column) -> Column:
         return F.struct(
             x["i"].alias("i"), x["heading"].alias("heading"), t.alias("t"), F.regexp_replace(t, r"^[ :]+|[ :]+$", "").alias("bare"), X.word_count(t).alias("wc"), t.rlike(X.ARROW).alias("arrow"),
             t.rlike(CHANGE).alias("change"), t.rlike(STAT).alias("stat"), t.rlike(NUMBER).alias("number"), t.rlike(PERCENT).alias("percent"), F.contains(t, F.lit(":")).alias("colon"), t.rlike(r"[.!?]$").alias("ended"),
+            F.lower(F.regexp_replace(t, r"^[ :]+|[ :]+$", "")).isin(*TRAILING_NOISE).alias("closing"), F.lower(t).isin(*TRAILING_NOISE).alias("closing_as_is"),
         )
 
     return F.transform(a, facts)
 
 
 def context_only(x: Column) -> Column:
-    """Kept as context: no change signal, and a heading, a known heading or at most six words without an end mark."""
+    """Kept as context: a closing line of the site, or no change signal, and a heading, a known heading or at most six words without an end mark."""
     signal = x["arrow"] | x["change"] | ((x["number"] | x["percent"]) & x["stat"])
     return (
-        F.when(x["bare"] == "", True)
+        F.when((x["bare"] == "") | x["closing"], True)
         .when(signal, False)
         .when(x["heading"], True)
         .when(F.lower(x["bare"]).isin(*CONTEXT_HEADINGS), True)
@@ -119,7 +129,7 @@ def stat_line(x: Column) -> Column:
     """A row of figures or a list entry: five rules in order."""
     wc, told = x["wc"], x["stat"] | x["change"]
     return (
-        F.when(wc == 0, False)
+        F.when((wc == 0) | x["closing_as_is"], False)
         .when(x["arrow"], True)
         .when(x["percent"] & (wc <= 40), True)
         .when(x["number"] & (wc <= 40) & (x["colon"] | told), True)

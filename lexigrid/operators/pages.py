@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.window import Window
 
 from lexigrid.functions import text as X, urls as U
-from lexigrid.operators.corpus import NOISE_LINES
+from lexigrid.operators.corpus import RENDERED_NOISE
 from lexigrid.session import spread
 
 #: Elements whose text counts as visible.
@@ -55,7 +55,7 @@ class Tree(HTMLParser):
         return out
 
 
-def leaf_texts(content: str | None, shortest: int = 2, longest: int = 240, noise=NOISE_LINES) -> list[str]:
+def leaf_texts(content: str | None, shortest: int = 2, longest: int = 240, noise=RENDERED_NOISE) -> list[str]:
     """The texts of elements without a child that has text of its own, in page order, equal neighbours once."""
     if not content:
         return []
@@ -64,6 +64,10 @@ def leaf_texts(content: str | None, shortest: int = 2, longest: int = 240, noise
     tree.close()
     texts = tree.texts()
     drop = set(noise)
+    # elements whose own or inner attributes or text lead to another language
+    other = [any("?l=" in str(v or "") for v in node[4].values()) if len(node) > 4 else False for node in tree.nodes]
+    for i in range(len(tree.nodes) - 1, 0, -1):
+        other[tree.nodes[i][1]] |= other[i]
     out: list[str] = []
     for i, node in enumerate(tree.nodes):
         t = texts[i]
@@ -71,7 +75,7 @@ def leaf_texts(content: str | None, shortest: int = 2, longest: int = 240, noise
             continue
         if any(tree.nodes[k][0] in TEXT_TAGS and texts[k] and texts[k].lower() not in drop for k in node[3]):
             continue
-        if "?l=" in str(node[4].get("href") or "") or out and out[-1] == t:
+        if other[i] or "?l=" in t or "Select Language" in t or out and out[-1] == t:
             continue
         out.append(t)
     return out
@@ -141,10 +145,23 @@ def text_key(c) -> Column:
     return F.regexp_replace(F.lower(X.squeeze(c)), r"^[#>\-\s]+", "")
 
 
+#: Texts of a site's menus; marks of addresses of assets.
+MENU_TEXTS = (
+    "home", "news", "heroes", "items", "store", "esports", "login", "logout", "(logout)", "patches", "gameplay updates", "previous updates", "play for free", "view hero detail page", "builds", "steam guides",
+)
+ASSET_ENDS = r"(?i)\.(?:png|jpe?g|webp|gif|svg|mp4|webm|mov)(?:[?#].*)?$"
+ASSET_MARKS = ("cdn.steamstatic.com", "dota_react/", "/assets/", ".vtex")
+LANGUAGE_ENTRY = r"^[A-ZÆØÅa-zæøå .'-]+ \([A-ZÆØÅa-zæøå .'-]+\)$"
+
+
 def meaningful(c) -> Column:
-    """Not furniture, a URL, a file name, signs alone or a single character."""
+    """Not a menu's text or language entry, a URL, an asset's address, signs alone or a single character."""
     t = X.squeeze(c)
-    return ~F.lower(t).isin(*NOISE_LINES) & ~t.rlike(r"(?i)^https?://") & ~t.rlike(r"(?i)\.(png|jpe?g|gif|webp|svg|mp4|webm|css|js)([?#]|$)") & ~t.rlike(r"^[^\p{L}\p{N}]+$") & (F.length(t) >= 2)
+    asset = t.rlike(ASSET_ENDS)
+    for mark in ASSET_MARKS:
+        asset = asset | F.contains(F.lower(t), F.lit(mark))
+    language = t.rlike(LANGUAGE_ENTRY) & (F.length(t) < 80)
+    return ~F.lower(t).isin(*MENU_TEXTS) & ~t.rlike(r"(?i)^https?://") & ~asset & ~t.rlike(r"^[^\p{L}\p{N}]+$") & ~language & (F.length(t) >= 2)
 
 
 def marked_text(b: DataFrame) -> DataFrame:
@@ -172,21 +189,40 @@ SIGNALS = [
     (r"(?i)(?:^|[^\p{L}\p{N}_])item\s+(?:changes?|balance)(?:[^\p{L}\p{N}_]|$)", "mentions item changes"),
 ]
 VERSION = r"(?:^|[^0-9.])([0-9]{1,2}\.[0-9]{1,2}[a-z]?)(?:[^0-9A-Za-z]|$)"
-SHOP = r"(?i)(?:^|[^\p{L}\p{N}_])(?:cosmetic|treasure|workshop|esports|tournament|tickets?)(?:[^\p{L}\p{N}_]|$)"
+SHOP = r"(?i)(?:^|[^\p{L}\p{N}_])cosmetic|treasure|workshop|esports|tournament|tickets?(?:[^\p{L}\p{N}_]|$)"
+#: What makes a themed page one of a patch, and the reasons that its kind and a named version give.
+THEMED = ("gameplay", "included in this update", "patch")
+THEMED_REASON, VERSION_REASON, PATCH_PAGE_REASON = "official themed update microsite", "mentions a specific patch version", "official /patches/<version> page"
 
 
-def context_score(title, body) -> Column:
-    """A struct (score, n_versions, reasons, role): how surely a page goes with a patch."""
+def context_score(title, body, kind=None) -> Column:
+    """A struct (score, n_versions, reasons, subkind, role): how surely a page of a kind (newsentry, patch_page, microsite or
+    another) goes with a patch. A named version counts as two reasons; what a themed page is by kind counts once."""
+    kind = F.lit(None).cast("string") if kind is None else kind
     t = X.squeeze(F.concat_ws("\n", title, body))
     versions = F.array_distinct(F.regexp_extract_all(t, F.lit(VERSION), F.lit(1)))
-    reasons = F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(r)) for p, r in SIGNALS]))
-    score = F.when(F.size(versions) > 0, 30).otherwise(0) + 20 * F.size(reasons) - F.when(t.rlike(SHOP) & (F.size(versions) == 0), 25).otherwise(0)
-    return F.struct(score.cast("int").alias("score"), F.size(versions).cast("bigint").alias("n_versions"), F.array_join(F.array_sort(reasons), "; ").alias("reasons"), F.when(score >= 30, "patch_adjacent_context").otherwise("general_official_communication").alias("role"))
+    named = t.rlike(dict((r, p) for p, r in SIGNALS)["mentions Patch <version>"])
+    signals = F.array_compact(F.array(F.when(named, F.lit(VERSION_REASON)), *[F.when(t.rlike(p), F.lit(r)) for p, r in SIGNALS]))
+    themed = F.coalesce(kind == "microsite", F.lit(False))
+    score = F.when(F.size(versions) > 0, 30).otherwise(0) + 20 * F.size(signals) + F.when(themed, 20).otherwise(0) - F.when(t.rlike(SHOP) & (F.size(versions) == 0), 25).otherwise(0)
+    low = F.lower(t)
+    about = F.contains(low, F.lit(THEMED[0])) | F.contains(low, F.lit(THEMED[1])) | F.contains(low, F.lit(THEMED[2]))
+    adjacent = (score >= 30) | (themed & about)
+    announces = F.coalesce(kind == "newsentry", F.lit(False)) & adjacent & (named | t.rlike(SIGNALS[0][0]))
+    reasons = F.array_join(F.array_sort(F.concat(F.when(themed, F.array(F.lit(THEMED_REASON))).otherwise(F.expr("CAST(array() AS ARRAY<STRING>)")), signals)), "; ")
+    patch_page = F.coalesce(kind == "patch_page", F.lit(False))
+    return F.struct(
+        F.when(patch_page, 100).otherwise(score).cast("int").alias("score"), F.size(versions).cast("bigint").alias("n_versions"), F.when(patch_page, PATCH_PAGE_REASON).otherwise(reasons).alias("reasons"),
+        F.when(patch_page, "patch_page").when(themed, "major_update_microsite").when(announces, "patch_announcement").otherwise(kind).alias("subkind"),
+        F.when(patch_page, "primary_patchnote").when(adjacent, "patch_adjacent_context").otherwise("general_official_communication").alias("role"),
+    )
 
 
 #: Keywords that leave a developer post out or take it in.
-EXCLUDE = ("esports", "worlds", "cosmetic", "skin", "merch", "shop")
-INCLUDE = ("gameplay", "season", "patch", "ranked", "mmr", "balance", "champion", "item", "objective", "jungle", "lane", "role", "map", "update")
+EXCLUDE = ("teamfight tactics", "tft", "esports", "worlds", "cosmetic", "skin", "merch", "shop")
+INCLUDE = (
+    "gameplay", "season", "summoner", "rift", "patch", "ranked", "mmr", "balance", "pbe", "champion", "item", "objective", "jungle", "lane", "role", "map", "bount", "atakhan", "void", "wasd", "tl;dw", "dev update",
+)
 
 
 def classify_entry(url, listing, seeds=(), mode: str = "gameplay-context", part: str = "/news/") -> Column:

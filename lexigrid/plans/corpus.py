@@ -98,12 +98,18 @@ def clean_line(e: str) -> str:
 
 
 DOCS = "docs AS (SELECT document_id, any_value(game) AS game, any_value(source_kind) AS source_kind, any_value(patch_id) AS patch_id, any_value(year) AS year, any_value(title) AS title, any_value(url) AS url, any_value(clean_text) AS clean_text FROM patchnote_corpus GROUP BY document_id, text_sha256)"
+#: The values of the two lists and of the closing lines, in the SQL's own words.
+CLOSING = "'dota and the dota logo are trademarks and/or registered trademarks of valve corporation.', '2025 valve corporation, all rights reserved.', 'dota and the dota logo are trademarks and/or registered trademarks of valve corporation. 2025 valve corporation, all rights reserved.'"
+FURNITURE = (
+    "'back to top', 'share', 'copy link', 'copied', 'show more', 'read more', 'load more', 'home', 'news', 'heroes', 'items', 'store', 'esports', 'login', 'logout', '(logout)', 'patches', 'gameplay updates', 'previous updates', "
+    f"'select language', 'play for free', 'builds', 'steam guides', 'view hero detail page', 'english', {CLOSING}"
+)
 BUILD = f"""
 WITH {DOCS},
 l0 AS (SELECT document_id, i, parts[i + 1] AS line FROM (SELECT document_id, regexp_split_to_array(coalesce(clean_text, ''), '\\r\\n|\\n|\\r') AS parts FROM docs) d, range(len(parts)) r(i)),
 l1 AS (SELECT document_id, i, {clean_line("line")} AS line FROM l0 WHERE NOT regexp_matches(line, {q(X.MD_IMAGE)})),
 l2 AS (SELECT *, lower(regexp_replace(line, '^[# \\-*•\\t]+|[# \\-*•\\t]+$', '', 'g')) AS bare FROM l1 WHERE line <> ''),
-l3 AS (SELECT *, lag(line) OVER (PARTITION BY document_id ORDER BY i) AS before FROM l2 WHERE bare <> '' AND bare NOT IN ({_in(C.NOISE_LINES)})),
+l3 AS (SELECT *, lag(line) OVER (PARTITION BY document_id ORDER BY i) AS before FROM l2 WHERE bare <> '' AND bare NOT IN ({FURNITURE})),
 t AS (SELECT document_id, string_agg(line, chr(10) ORDER BY i) AS clean_text, count(*) AS line_count FROM l3 WHERE before IS NULL OR before <> line GROUP BY document_id),
 c AS (SELECT d.document_id, game, source_kind, patch_id, year, title, url, t.clean_text, line_count, CAST({words("t.clean_text")} AS BIGINT) AS word_count, sha256(t.clean_text) AS text_sha256 FROM docs d JOIN t USING (document_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY document_id, game, patch_id, title) AS n FROM c WHERE word_count >= 20)
@@ -119,8 +125,8 @@ u2 AS (SELECT *, regexp_matches(s, {q(X.HEADING)}) AS heading,
   CASE WHEN regexp_matches(s, {q(X.HEADING)}) THEN regexp_replace({squeeze(f"regexp_extract(s, {q(X.HEADING)}, 1)")}, '^:+|:+$', '', 'g') ELSE trim(regexp_replace(s, {q(C.LINE_MARKS)}, '')) END AS t FROM u1),
 u3 AS (SELECT *, regexp_replace(t, '^[ :]+|[ :]+$', '', 'g') AS bare, {words("t")} AS wc FROM u2 WHERE t <> ''),
 u4 AS (SELECT *,
-  CASE WHEN bare = '' THEN true WHEN {STRONG("bare")} THEN false WHEN heading THEN true WHEN lower(bare) IN ({_in(C.CONTEXT_HEADINGS)}) THEN true ELSE {words("bare")} <= 6 AND NOT regexp_matches(bare, '[.!?]$') END AS ctx,
-  CASE WHEN wc = 0 THEN false WHEN regexp_matches(t, {q(X.ARROW)}) THEN true WHEN regexp_matches(t, {q(C.PERCENT)}) AND wc <= 40 THEN true
+  CASE WHEN bare = '' OR lower(bare) IN ({CLOSING}) THEN true WHEN {STRONG("bare")} THEN false WHEN heading THEN true WHEN lower(bare) IN ({_in(C.CONTEXT_HEADINGS)}) THEN true ELSE {words("bare")} <= 6 AND NOT regexp_matches(bare, '[.!?]$') END AS ctx,
+  CASE WHEN wc = 0 OR lower(t) IN ({CLOSING}) THEN false WHEN regexp_matches(t, {q(X.ARROW)}) THEN true WHEN regexp_matches(t, {q(C.PERCENT)}) AND wc <= 40 THEN true
        WHEN regexp_matches(t, {q(C.NUMBER)}) AND wc <= 40 AND (contains(t, ':') OR {TOLD}) THEN true
        WHEN wc <= 30 AND regexp_matches(t, {q(C.CHANGE)}) AND NOT regexp_matches(t, '[.!?]$') THEN true ELSE contains(t, ':') AND wc <= 30 AND {TOLD} END AS stat FROM u3),
 u5 AS (SELECT *, CASE WHEN ctx OR stat THEN [t] ELSE list_filter(list_transform(string_split(regexp_replace({squeeze("t")}, {q(X.SENTENCE_CUT)}, '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') END AS parts FROM u4),

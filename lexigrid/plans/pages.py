@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as X, urls as U
 from lexigrid.operators import hydrate as H, pages as P, structure, topics as K
-from lexigrid.operators.corpus import NOISE_LINES
 from lexigrid.plans.corpus import squeeze, unescaped
 from lexigrid.plans.profile import STOP, q
 from lexigrid.session import cut, table, wide
@@ -61,7 +60,8 @@ def url_classify(spark, sf):
 
 def page_context_score(spark, sf):
     d = wide(spark, sf, "patchnote_corpus", "document_id").dropDuplicates(["document_id", "text_sha256"])
-    return d.select("document_id", P.context_score(F.col("title"), F.col("clean_text")).alias("s")).select("document_id", "s.*")
+    kind = F.when(F.col("source_kind") == "official_text", "patch_page").when(F.col("source_kind") == "legacy_text", "microsite").otherwise("newsentry")
+    return d.select("document_id", P.context_score(F.col("title"), F.col("clean_text"), kind).alias("s")).select("document_id", "s.*")
 
 
 def entry_classify(spark, sf):
@@ -193,7 +193,7 @@ def queries() -> dict:
 
 
 HTML = "(SELECT * FROM page_files WHERE path LIKE '%.html')"
-NOISE = ", ".join(map(q, NOISE_LINES))
+NOISE = "'home', 'news', 'heroes', 'items', 'store', 'esports', 'login', 'logout', '(logout)', 'patches', 'gameplay updates', 'previous updates', 'play for free', 'view hero detail page', 'builds', 'steam guides'"
 BLOCKS = f"""
 c AS (SELECT path, regexp_replace(content, {q(P.DROPPED)}, ' ', 'g') AS content FROM {HTML} h),
 e AS (SELECT path, regexp_extract_all(content, {q(P.BLOCK)}) AS bs FROM c),
@@ -202,11 +202,28 @@ x AS (SELECT path, pos, lower(regexp_extract(b, {q(P.BLOCK)}, 1)) AS tag, regexp
 blocks AS (SELECT path, pos, tag, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'td' THEN 'table_cell' ELSE 'text' END AS block_type,
   CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) END AS heading_level, text FROM x WHERE text <> '')
 """
-MEANING = f"lower({squeeze('text')}) NOT IN ({NOISE}) AND NOT regexp_matches({squeeze('text')}, '(?i)^https?://') AND NOT regexp_matches({squeeze('text')}, '(?i)\\.(png|jpe?g|gif|webp|svg|mp4|webm|css|js)([?#]|$)') AND NOT regexp_matches({squeeze('text')}, '^[^\\p{{L}}\\p{{N}}]+$') AND length({squeeze('text')}) >= 2"
+MEANING = f"lower({squeeze('text')}) NOT IN ({NOISE}) AND NOT regexp_matches({squeeze('text')}, '(?i)^https?://') AND NOT regexp_matches({squeeze('text')}, '(?i)\\.(?:png|jpe?g|webp|gif|svg|mp4|webm|mov)(?:[?#].*)?$|cdn\\.steamstatic\\.com|dota_react/|/assets/|\\.vtex') AND NOT (length({squeeze('text')}) < 80 AND regexp_matches({squeeze('text')}, '^[A-ZÆØÅa-zæøå .''-]+ \\([A-ZÆØÅa-zæøå .''-]+\\)$')) AND NOT regexp_matches({squeeze('text')}, '^[^\\p{{L}}\\p{{N}}]+$') AND length({squeeze('text')}) >= 2"
 PATH = lambda u: f"CASE WHEN regexp_replace(regexp_extract({u}, {q(U.URL_PARTS)}, 3), '/+$', '') = '' THEN '/' ELSE regexp_replace(regexp_extract({u}, {q(U.URL_PARTS)}, 3), '/+$', '') END"
 UNIT = lambda *p: f"CAST('0x' || substr(md5({' || chr(124) || '.join(p)}), 1, 8) AS BIGINT)"
 
 
+#: The signals in the SQL's own words: edges of words as classes, since the engines differ on them.
+SIGNAL_LIST = "list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(t, '(?is)(^|[^\\p{{L}}\\p{{N}}_]){p}([^\\p{{L}}\\p{{N}}_]|$)') THEN '{r}' END"
+    for p, r in (
+        ("patch\\s+\\d+\\.\\d+[a-z]?", "mentions a specific patch version"),
+        ("introducing[^\\p{L}\\p{N}_](.*[^\\p{L}\\p{N}_])?patch", "introduces a patch"),
+        ("gameplay\\s+(update|patch|changes?)", "mentions gameplay update/patch/changes"),
+        ("patch\\s+\\d+\\.\\d+[a-z]?", "mentions Patch <version>"),
+        ("included\\s+in\\s+this\\s+update", "contains included-in-this-update section"),
+        ("the\\s+.+\\s+update\\s+is\\s+here", "announces an update release"),
+        ("balance\\s+(changes?|update|patch)", "mentions balance changes"),
+        ("hero\\s+(changes?|balance)", "mentions hero changes"),
+        ("item\\s+(changes?|balance)", "mentions item changes"),
+    )
+) + "], lambda x: x IS NOT NULL)"
+
+
 def heading_sql() -> str:
     pos = lambda k: f"coalesce(h{k}.pos, -1)"
     parts = []
@@ -219,11 +236,7 @@ def heading_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     t = squeeze("concat_ws(chr(10), title, clean_text)")
-    reasons = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, {q(p)}) THEN {q(r)} END" for p, r in P.SIGNALS) + "], lambda x: x IS NOT NULL)"
     hay = squeeze(f"concat_ws(' ', regexp_extract({PATH('url')}, '([^/]*)$', 1), title, category)")
-    import re as _re
-
-    any_of = lambda ks: q("|".join(_re.escape(k) for k in ks))
     seg = "list_filter(string_split(lower(p), '/'), lambda x: x <> '')"
     safe = lambda e: f"regexp_replace(substr(CASE WHEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({e})), '^https?://', ''), '[^a-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[_.\\-]+|[_.\\-]+$', '', 'g') = '' THEN 'untitled' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({e})), '^https?://', ''), '[^a-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[_.\\-]+|[_.\\-]+$', '', 'g') END, 1, 120), '^[_.\\-]+|[_.\\-]+$', '', 'g')"
     long = "l AS (SELECT vec_id, label, CAST(i AS INTEGER) AS topic, CAST(embedding[i + 1] AS DOUBLE) AS score FROM embeddings, range(64) r(i))"
@@ -241,15 +254,22 @@ def oracle_sql() -> dict[str, str]:
         "url_classify": f"""WITH u AS (SELECT DISTINCT url, {PATH('url')} AS p FROM page_manifest)
             SELECT url, lower(regexp_extract(url, {q(U.URL_PARTS)}, 2)) AS host, p AS path, regexp_extract(p, '([^/]*)$', 1) AS slug, CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '/$') THEN regexp_replace(url, '[?#].*$', '') ELSE regexp_replace(url, '[?#].*$', '') || '/' END AS canonical,
               {safe("replace(CASE WHEN regexp_replace(p, '^/+', '') = '' THEN 'home' ELSE regexp_replace(p, '^/+', '') END, '/', '_')")} AS output_id,
-              CASE WHEN contains(lower(p), '/newsentry/') THEN 'newsentry' WHEN contains(lower(p), '/patches/') OR contains(lower(p), '/patch-') OR regexp_matches(lower(p), '/patches$') THEN 'patch_page'
-                WHEN len({seg}) = 1 AND {seg}[1] NOT IN ({', '.join(map(q, U.SITE_PAGES))}) AND NOT contains({seg}[1], '.') AND length({seg}[1]) >= 3 THEN 'microsite' END AS kind FROM u""",
-        "page_context_score": f"""WITH d AS (SELECT document_id, any_value(title) AS title, any_value(clean_text) AS clean_text FROM patchnote_corpus GROUP BY document_id, text_sha256), a AS (SELECT document_id, {t} AS t FROM d),
-            b AS (SELECT document_id, t, len(list_distinct(regexp_extract_all(t, {q(P.VERSION)}, 1))) AS nv, {reasons} AS rs FROM a),
-            s AS (SELECT document_id, CASE WHEN nv > 0 THEN 30 ELSE 0 END + 20 * len(rs) - CASE WHEN regexp_matches(t, {q(P.SHOP)}) AND nv = 0 THEN 25 ELSE 0 END AS score, nv, rs FROM b)
-            SELECT document_id, CAST(score AS INTEGER) AS score, CAST(nv AS BIGINT) AS n_versions, array_to_string(list_sort(rs), '; ') AS reasons, CASE WHEN score >= 30 THEN 'patch_adjacent_context' ELSE 'general_official_communication' END AS role FROM s""",
-        "entry_classify": f"""WITH a AS (SELECT DISTINCT url, title, category FROM articles), b AS (SELECT url, title, lower({hay}) AS hay, contains(lower({PATH('url')}) || '/', '/news/') AS ok FROM a)
-            SELECT url, title, ok AND NOT regexp_matches(hay, {any_of(P.EXCLUDE)}) AND regexp_matches(hay, {any_of(P.INCLUDE)}) AS include,
-              CASE WHEN NOT ok THEN 'not_written_article' WHEN regexp_matches(hay, {any_of(P.EXCLUDE)}) THEN 'excluded_by_keyword' WHEN regexp_matches(hay, {any_of(P.INCLUDE)}) THEN 'included_by_keyword' ELSE 'no_keyword' END AS reason FROM b""",
+              CASE WHEN starts_with(p, '/newsentry/') THEN 'newsentry' WHEN starts_with(p, '/patches/') OR p = '/patches' THEN 'patch_page'
+                WHEN len({seg}) = 1 AND length({seg}[1]) >= 3 AND NOT contains({seg}[1], '.') AND {seg}[1] NOT IN ('home', 'news', 'updates', 'heroes', 'items', 'esports', 'workshop', 'store', 'pastupdates', 'patches', 'play', 'main', 'leaderboards')
+                  AND NOT regexp_matches('/' || {seg}[1], '^/(heroes|hero/|items|esports|workshop|store|news|patches|pastupdates|home|community|privacy|login|play|main|leaderboards)') THEN 'microsite' END AS kind FROM u""",
+        "page_context_score": f"""WITH d AS (SELECT document_id, any_value(title) AS title, any_value(clean_text) AS clean_text, any_value(source_kind) AS sk FROM patchnote_corpus GROUP BY document_id, text_sha256),
+            a AS (SELECT document_id, CASE sk WHEN 'official_text' THEN 'patch_page' WHEN 'legacy_text' THEN 'microsite' ELSE 'newsentry' END AS kind, {t} AS t FROM d),
+            b AS (SELECT document_id, t, kind, len(list_distinct(regexp_extract_all(t, {q(P.VERSION)}, 1))) AS nv, {SIGNAL_LIST} AS rs FROM a),
+            s AS (SELECT *, CASE WHEN nv > 0 THEN 30 ELSE 0 END + 20 * len(rs) + CASE WHEN kind = 'microsite' THEN 20 ELSE 0 END - CASE WHEN nv = 0 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])cosmetic|treasure|workshop|esports|tournament|tickets?([^\\p{{L}}\\p{{N}}_]|$)') THEN 25 ELSE 0 END AS score FROM b),
+            r AS (SELECT *, score >= 30 OR kind = 'microsite' AND regexp_matches(lower(t), 'gameplay|included in this update|patch') AS adjacent FROM s)
+            SELECT document_id, CAST(CASE WHEN kind = 'patch_page' THEN 100 ELSE score END AS INTEGER) AS score, CAST(nv AS BIGINT) AS n_versions,
+              CASE WHEN kind = 'patch_page' THEN 'official /patches/<version> page' ELSE array_to_string(list_sort(CASE WHEN kind = 'microsite' THEN list_append(rs, 'official themed update microsite') ELSE rs END), '; ') END AS reasons,
+              CASE WHEN kind = 'microsite' THEN 'major_update_microsite' WHEN kind = 'newsentry' AND adjacent AND (list_contains(rs, 'mentions a specific patch version') OR list_contains(rs, 'introduces a patch')) THEN 'patch_announcement' ELSE kind END AS subkind,
+              CASE WHEN kind = 'patch_page' THEN 'primary_patchnote' WHEN adjacent THEN 'patch_adjacent_context' ELSE 'general_official_communication' END AS role FROM r""",
+        "entry_classify": f"""WITH a AS (SELECT DISTINCT url, title, category FROM articles), b AS (SELECT url, title, lower({hay}) AS hay, contains(lower({PATH('url')}) || '/', '/news/') AS ok FROM a),
+            c AS (SELECT *, regexp_matches(hay, 'teamfight tactics|tft|esports|worlds|cosmetic|skin|merch|shop') AS leave,
+              regexp_matches(hay, 'gameplay|season|summoner|rift|patch|ranked|mmr|balance|pbe|champion|item|objective|jungle|lane|role|map|bount|atakhan|void|wasd|tl;dw|dev update') AS take FROM b)
+            SELECT url, title, ok AND NOT leave AND take AS include, CASE WHEN NOT ok THEN 'not_written_article' WHEN leave THEN 'excluded_by_keyword' WHEN take THEN 'included_by_keyword' ELSE 'no_keyword' END AS reason FROM c""",
         "manifest_lookup": """WITH k AS (SELECT unnest([raw_html_path, text_path, output_id]) AS key, output_id, url, title, status FROM page_manifest), l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY output_id DESC, url DESC, status DESC, coalesce(title, '') DESC) AS n FROM k WHERE trim(coalesce(key, '')) <> '') x WHERE n = 1)
             SELECT p.path, CASE WHEN a.key IS NOT NULL THEN a.output_id ELSE b.output_id END AS output_id, CASE WHEN a.key IS NOT NULL THEN a.title ELSE b.title END AS title, CASE WHEN a.key IS NOT NULL THEN a.status ELSE b.status END AS status
             FROM page_files p LEFT JOIN l a ON p.path = a.key LEFT JOIN l b ON regexp_replace(regexp_extract(p.path, '([^/]*)$', 1), '\\.[A-Za-z0-9]+$', '') = b.key""",
