@@ -92,16 +92,24 @@ def leaf_blocks(pages: DataFrame) -> DataFrame:
     return spread(pages.select("path", "content")).mapInPandas(run, schema)
 
 
-LINK = r'(?i)<a\s+href="([^"]*)"[^>]*>([^<]*)</a>'
+LINK = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]*)["']?[^>]*>(.*?)</a>"""
+#: Inline elements go first, so a block's text reaches to the next tag of a block.
+INLINE = r"(?i)</?(?:a|abbr|b|bdi|bdo|cite|code|em|font|i|ins|kbd|mark|q|s|samp|span|strong|sub|sup|tt|u|var)(?:\s[^>]*)?/?>"
+BREAK = r"(?i)<br(?:\s[^>]*)?/?>"
 BLOCK = r"(?i)<(h[1-6]|p|li|td|div|small)(?:\s[^>]*)?>([^<]+)"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 DROPPED = r"(?is)<(?:script|style|noscript)[^>]*>.*?</(?:script|style|noscript)>"
 
 
+def _bare(c) -> Column:
+    """Text without its inline tags; a line break is a space."""
+    return F.regexp_replace(F.regexp_replace(c, BREAK, " "), r"<[^>]*>", "")
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(path, pos, url, text): the links of each page, the first of equal targets kept."""
     every = F.regexp_extract_all("content", F.lit(LINK), F.lit(0))
-    rows = pages.select("path", F.posexplode(every).alias("pos", "a")).select("path", "pos", U.canonical(F.regexp_extract("a", LINK, 1), keep_query=True).alias("url"), X.squeeze(X.unescaped(F.regexp_extract("a", LINK, 2))).alias("text"))
+    rows = pages.select("path", F.posexplode(every).alias("pos", "a")).select("path", "pos", U.canonical(F.regexp_extract("a", LINK, 1), keep_query=True).alias("url"), X.squeeze(X.unescaped(_bare(F.regexp_extract("a", LINK, 2)))).alias("text"))
     return rows.groupBy("path", "url").agg(F.min_by(F.struct("pos", "text"), "pos").alias("x")).select("path", "x.pos", "url", "x.text")
 
 
@@ -115,8 +123,9 @@ def metadata(pages: DataFrame) -> DataFrame:
 
 
 def blocks(pages: DataFrame) -> DataFrame:
-    """(path, pos, tag, block_type, heading_level, text): blocks that open with their own text."""
-    every = F.regexp_extract_all(F.regexp_replace("content", DROPPED, " "), F.lit(BLOCK), F.lit(0))
+    """(path, pos, tag, block_type, heading_level, text): blocks with text of their own, inline elements included."""
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace("content", DROPPED, " "), BREAK, " "), INLINE, "")
+    every = F.regexp_extract_all(flat, F.lit(BLOCK), F.lit(0))
     rows = pages.select("path", F.posexplode(every).alias("pos", "b")).select("path", "pos", F.lower(F.regexp_extract("b", BLOCK, 1)).alias("tag"), F.regexp_replace(X.squeeze(X.unescaped(F.regexp_extract("b", BLOCK, 2))), X.ANY_ARROW, " → ").alias("text"))
     kind = F.when(F.col("tag").rlike("^h[1-6]$"), "heading").when(F.col("tag") == "li", "list_item").when(F.col("tag") == "td", "table_cell").otherwise("text")
     return rows.where("text <> ''").select("path", "pos", "tag", kind.alias("block_type"), F.when(kind == "heading", F.substring("tag", 2, 1).cast("int")).alias("heading_level"), "text")

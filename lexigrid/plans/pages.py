@@ -194,8 +194,9 @@ def queries() -> dict:
 
 HTML = "(SELECT * FROM page_files WHERE path LIKE '%.html')"
 NOISE = "'home', 'news', 'heroes', 'items', 'store', 'esports', 'login', 'logout', '(logout)', 'patches', 'gameplay updates', 'previous updates', 'play for free', 'view hero detail page', 'builds', 'steam guides'"
+bare = lambda e: f"regexp_replace(regexp_replace({e}, '(?i)<br(\\s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g')"
 BLOCKS = f"""
-c AS (SELECT path, regexp_replace(content, {q(P.DROPPED)}, ' ', 'g') AS content FROM {HTML} h),
+c AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(content, {q(P.DROPPED)}, ' ', 'g'), {q(P.BREAK)}, ' ', 'g'), {q(P.INLINE)}, '', 'g') AS content FROM {HTML} h),
 e AS (SELECT path, regexp_extract_all(content, {q(P.BLOCK)}) AS bs FROM c),
 r AS (SELECT path, CAST(i AS INTEGER) AS pos, bs[i + 1] AS b FROM e, range(len(bs)) t(i)),
 x AS (SELECT path, pos, lower(regexp_extract(b, {q(P.BLOCK)}, 1)) AS tag, regexp_replace({squeeze(unescaped(f"regexp_extract(b, {q(P.BLOCK)}, 2)"))}, {q(X.ANY_ARROW)}, ' → ', 'g') AS text FROM r),
@@ -242,7 +243,7 @@ def oracle_sql() -> dict[str, str]:
     long = "l AS (SELECT vec_id, label, CAST(i AS INTEGER) AS topic, CAST(embedding[i + 1] AS DOUBLE) AS score FROM embeddings, range(64) r(i))"
     rank = lambda by: f"row_number() OVER (PARTITION BY {by} ORDER BY score DESC, vec_id)"
     return {
-        "html_links": f"""WITH e AS (SELECT path, regexp_extract_all(content, {q(P.LINK)}) AS ls FROM {HTML} h), r AS (SELECT path, CAST(i AS INTEGER) AS pos, regexp_replace(regexp_extract(ls[i + 1], {q(P.LINK)}, 1), '#.*$', '') AS url, {squeeze(unescaped(f"regexp_extract(ls[i + 1], {q(P.LINK)}, 2)"))} AS text FROM e, range(len(ls)) t(i))
+        "html_links": f"""WITH e AS (SELECT path, regexp_extract_all(content, {q(P.LINK)}) AS ls FROM {HTML} h), r AS (SELECT path, CAST(i AS INTEGER) AS pos, regexp_replace(regexp_extract(ls[i + 1], {q(P.LINK)}, 1), '#.*$', '') AS url, {squeeze(unescaped(bare(f"regexp_extract(ls[i + 1], {q(P.LINK)}, 2)")))} AS text FROM e, range(len(ls)) t(i))
             SELECT path, pos, url, text FROM (SELECT *, row_number() OVER (PARTITION BY path, url ORDER BY pos) AS n FROM r) x WHERE n = 1""",
         "html_metadata": f"""SELECT path, {squeeze(unescaped(f"regexp_extract(content, {q(P.TITLE)}, 1)"))} AS title, CAST(len(regexp_extract_all(content, '(?i)<script')) AS BIGINT) AS n_scripts, CAST(len(regexp_extract_all(content, '(?i)<a\\s')) AS BIGINT) AS n_links,
             CAST(length({squeeze(unescaped(f"regexp_replace(regexp_replace(content, {q(P.DROPPED)}, ' ', 'g'), {q(X.TAG)}, ' ', 'g')"))}) AS BIGINT) AS visible_chars FROM {HTML} h""",

@@ -248,3 +248,24 @@ def test_nmf_is_not_negative(spark):
     w = spark.createDataFrame([(d, t, float(1 + (d + t) % 3)) for d in range(6) for t in range(5)], "doc int, term int, weight double")
     f = K.nmf(w, k=2, max_iter=3).itemFactors.collect()
     assert len(f) == 5 and all(x >= 0 for r in f for x in r.features)
+
+
+def test_blocks_and_links_are_whole(spark):
+    page = "<div><p><b>To</b> be <a href='/x'>cl<i>ear</i></a>, a<br>b</p><ul><li><a class=k href=/y>Entry</a></li></ul><h2>H <span>2</span></h2>" + "<p>" + "w <b>x</b> " * 3000 + "</p></div>"
+    df = spark.createDataFrame([("a.html", page), ("b.html", None), ("c.html", "")], "path string, content string")
+    got = [(r.tag, r.text) for r in P.blocks(df).orderBy("pos").collect()]
+    assert got[:3] == [("p", "To be clear, a b"), ("li", "Entry"), ("h2", "H 2")] and got[3] == ("p", ("w x " * 3000).strip())
+    assert [(r.url, r.text) for r in P.links(df).orderBy("pos").collect()] == [("/x", "clear"), ("/y", "Entry")]
+
+
+def test_context_score_of_kinds(spark):
+    rows = [("Patch 7.1", "x", "patch_page"), ("Hello", "gameplay", "microsite"), ("Patch 7.1", "notes", "newsentry"), ("Tickets", "to the show", "newsentry"), ("Patch 7.1", "notes", None)]
+    df = spark.createDataFrame(rows, "t string, b string, k string")
+    got = [tuple(r.s) for r in df.select(P.context_score(F.col("t"), F.col("b"), F.col("k")).alias("s")).collect()]
+    assert [(r[0], r[3], r[4]) for r in got] == [(100, "patch_page", "primary_patchnote"), (20, "major_update_microsite", "patch_adjacent_context"), (70, "patch_announcement", "patch_adjacent_context"), (-25, "newsentry", "general_official_communication"), (70, None, "patch_adjacent_context")]
+    assert got[2][2] == "mentions Patch <version>; mentions a specific patch version"
+
+
+def test_closing_lines_are_context(spark):
+    df = corpus(spark, "2025 Valve Corporation, all rights reserved.\nDamage increased by 5.")
+    assert [(r.unit_type, r.included) for r in C.units(df).orderBy("unit_order").collect()] == [("context_only_short_unit", False), ("stat_or_list_line", True)]
