@@ -50,6 +50,25 @@ def payload(item_no: Column) -> Column:
     return F.struct(F.format_string("item_%03d", item_no).alias("prompt_id"), field("context_before"), field("target_text"), field("context_after"))
 
 
+def item_prompt(number: int = 1) -> Column:
+    """The prompt that an item alone would be sent in, as JSON text."""
+    return F.to_json(F.struct(F.array(payload(F.lit(number))).alias("items")))
+
+
+def joined_back(answers: DataFrame, sent: DataFrame) -> DataFrame:
+    """Answers under neutral ids (batch_no, prompt_id, ...) with the item_id that was sent under them; others have none."""
+    ids = sent.select("batch_no", F.format_string("item_%03d", "item_no").alias("prompt_id"), "item_id")
+    return answers.join(ids, ["batch_no", "prompt_id"], "left")
+
+
+def answer_schema(labels: list[str] = NAMES) -> dict:
+    """The JSON schema of an answer: every field required, labels of the code book only."""
+    one = {"type": "string", "enum": list(labels)}
+    fields = {"primary_label": one, "secondary_labels": {"type": "array", "items": one}, "confidence": {"type": "number"}, "evidence_quote": {"type": "string"}, "reason_short": {"type": "string"}}
+    item = {"type": "object", "additionalProperties": False, "properties": {"prompt_id": {"type": "string"}, **fields}, "required": ["prompt_id", *fields]}
+    return {"type": "object", "additionalProperties": False, "properties": {"items": {"type": "array", "items": item}}, "required": ["items"]}
+
+
 def packets(items: DataFrame, batch_size: int = 12, seed=42) -> DataFrame:
     """(batch_no, n_items, approx_tokens, prompt): shuffled items in batches, each as one JSON text."""
     b = sampling.batches(items, batch_size, seed, "item_id")

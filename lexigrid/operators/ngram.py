@@ -236,3 +236,74 @@ def text_metrics(text: Column) -> Column:
     n, punct = F.size(toks), F.size(F.filter(toks, lambda t: t.rlike(r"^[.!?,;:]$")))
     share = lambda a: F.when(n > 0, a / n).otherwise(F.lit(0.0))
     return F.struct(n.cast("bigint").alias("token_count"), share(F.size(F.array_distinct(toks))).alias("unique_token_ratio"), punct.cast("bigint").alias("punctuation_count"), share(punct).alias("punctuation_ratio"), F.size(F.filter(toks, lambda t: t.rlike(r"^[.!?]$"))).cast("bigint").alias("sentence_end_count"))
+
+
+def value_lists(recs: DataFrame, dimensions) -> DataFrame:
+    """(dimension, n_values, joined): the sorted named values of each dimension; a dimension's values are its vocabulary of
+    names, so the list is as long as the names are many."""
+    long = recs.unpivot(["record_id"], list(dimensions), "dimension", "value").where("value <> ''").select("dimension", "value").distinct()
+    return long.groupBy("dimension").agg(F.count("*").alias("n_values"), F.array_join(F.array_sort(F.collect_list("value")), "|").alias("joined"))
+
+
+def save_model(recs: DataFrame, counts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A model as two tables: its records and its n-gram counts; an existing path is an error unless overwritten."""
+    from lexigrid.sources import sinks
+
+    sinks.write_all({"records": recs, "ngram_counts": counts}, path, overwrite=overwrite)
+
+
+def load_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/records"), spark.read.parquet(f"{path}/ngram_counts")
+
+
+#: The parameters of a batch that one pass of `generate` shares; the others differ by request.
+SHARED = ("top_k", "temperature", "backoff_mode", "backoff_alpha", "sentence_mode", "tokens")
+
+
+def run_batch(params: DataFrame, recs: DataFrame, n: int, min_quotes: int = 1, limit: int | None = None) -> DataFrame:
+    """Texts for the rows of a parameter grid: params with their number, status, text, perplexity and metrics.
+
+    params has batch_no, region ('' is all), seed, random_seed and the columns of SHARED. A row whose region has fewer than
+    min_quotes records is skipped with its reason; the limit counts the rows that are not. One pass serves
+    all rows of a combination of SHARED, of which a grid has few.
+    """
+    both = recs.select(F.explode(F.array_distinct(F.array("effective_region", F.lit("")))).alias("cond"), "record_id", "quote", "tokens")
+    # a named region is read without repeated quotes, as in `select`
+    kept = first_of_quote(both.where("cond <> ''"), F.col("cond")).unionByName(both.where("cond = ''"))
+    kept = cut(kept)
+    size = kept.groupBy("cond").agg(F.count("*").alias("num_source_quotes"))
+    model = cut(mle(continuous_counts(kept, n, "cond")))
+    j = params.withColumn("cond", F.col("region")).join(size, "cond", "left").withColumn("num_source_quotes", F.coalesce("num_source_quotes", F.lit(0).cast("bigint")))
+    enough = F.col("num_source_quotes") >= max(1, min_quotes)
+    j = j.withColumn("status", F.when(enough, "ok").otherwise(F.concat(F.lit("skipped: only "), F.col("num_source_quotes").cast("string"), F.lit(" quotes"))))
+    if limit is not None:
+        done = F.sum(F.when(enough, 1).otherwise(0)).over(Window.orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1))  # a grid is small
+        j = j.withColumn("__done", F.coalesce(done, F.lit(0))).where(F.col("__done") < limit).drop("__done")
+    j = cut(j.withColumn("req", F.col("batch_no").cast("string")))
+    out = None
+    for c in j.where("status = 'ok'").select(*SHARED).distinct().orderBy(*SHARED).collect():
+        same = F.lit(True)
+        for name in SHARED:
+            same = same & F.col(name).eqNullSafe(F.lit(c[name]))
+        one = generate(j.where((F.col("status") == "ok") & same), model, n, c.tokens, c.backoff_mode, c.backoff_alpha, c.top_k, c.temperature, c.sentence_mode).select("req", "text", "perplexity")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = j.limit(0).select("req", F.lit("").alias("text"), F.lit(0.0).alias("perplexity"))
+    summary = F.when(F.col("region") != "", F.concat(F.lit("region="), "region")).otherwise("global")
+    return j.join(out, "req", "left").withColumn("condition_summary", summary).withColumn("m", text_metrics(F.col("text"))).select(*params.columns, "condition_summary", "num_source_quotes", "status", "text", "perplexity", "m.*")
+
+
+def write_batch(batch: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """A batch as JSON lines and CSV, with the mean metrics by model parameters beside it."""
+    from lexigrid.sources import sinks
+
+    batch = cut(batch)
+    sinks.write(batch, f"{folder}/outputs_jsonl", "json", overwrite)
+    sinks.write(batch, f"{folder}/outputs_csv", "csv", overwrite)
+    sinks.write(batch_diagnostics(batch), f"{folder}/diagnostics", "json", overwrite)
+
+
+def batch_diagnostics(batch: DataFrame) -> DataFrame:
+    """(temperature, top_k, n_ok, n_skipped, mean metrics) of a batch."""
+    r = lambda c: F.round(F.avg(c), 6)
+    return batch.groupBy("temperature", "top_k").agg(F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") != "ok").alias("n_skipped"), r("unique_token_ratio").alias("unique_token_ratio"), r("punctuation_ratio").alias("punctuation_ratio"), r("perplexity").alias("perplexity"))

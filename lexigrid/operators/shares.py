@@ -46,10 +46,11 @@ def year_range(c: str) -> Column:
     return F.when(F.min(c).isNull(), "").when(F.min(c) == F.max(c), F.min(c).cast("string")).otherwise(F.concat_ws("–", F.min(c).cast("string"), F.max(c).cast("string")))
 
 
-def lexical(df: DataFrame, by: str, text: str) -> DataFrame:
+def lexical(df: DataFrame, by, text: str) -> DataFrame:
     """Tokens, types and their ratio per group, over lower-cased words pooled."""
-    t = df.select(by, F.explode(X.words(F.col(text))).alias("w")).groupBy(by, F.lower("w").alias("w")).agg(F.count("*").alias("n"))
-    return t.groupBy(by).agg(F.sum("n").cast("bigint").alias("tokens"), F.count("*").alias("types")).withColumn("ttr", F.round(F.col("types") / F.col("tokens"), 6))
+    by = [by] if isinstance(by, str) else by
+    t = df.select(*by, F.explode(X.words(F.coalesce(text, F.lit("")))).alias("w")).groupBy(*by, F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    return t.groupBy(*by).agg(F.sum("n").cast("bigint").alias("tokens"), F.count("*").alias("types")).withColumn("ttr", F.round(F.col("types") / F.col("tokens"), 6))
 
 
 def describe_corpus(corpus: DataFrame) -> DataFrame:
@@ -67,6 +68,37 @@ def describe_targets(items: DataFrame) -> DataFrame:
     )
 
 
+def describe_targets_by(items: DataFrame, *by: str) -> DataFrame:
+    """Targets per group: documents, targets and words in all and by type with their shares, summaries of the words of all,
+    prose and list targets, and the words' variety over the pooled texts."""
+    prose, stat = F.col("target_type") == "prose_sentence", F.col("target_type") == "stat_or_list_line"
+    words = F.coalesce(F.col("target_word_count"), F.lit(0))
+    t = items.withColumn("w", words).withColumn("pw", F.when(prose, words)).withColumn("sw", F.when(stat, words))
+    share = lambda k: F.round(F.avg(k.cast("double")), 6)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    d = t.groupBy(*by).agg(
+        F.count_distinct("document_id").alias("n_documents"), F.count("*").alias("n_targets"), F.count_if(prose).alias("n_prose"), F.count_if(stat).alias("n_stat"), total("w").alias("n_words"), total("pw").alias("n_prose_words"), total("sw").alias("n_stat_words"),
+        share(prose).alias("prose_share"), share(stat).alias("stat_share"), *summary("w", "words"), *summary("pw", "prose_words"), *summary("sw", "stat_words"),
+    )
+    return d.join(lexical(items, list(by), "target_text"), list(by), "left")
+
+
+def describe_units(units: DataFrame) -> DataFrame:
+    """Context units per game: all, targets and context only with their words, shares, summary and variety of words."""
+    on = F.col("included")
+    share = lambda k: F.round(F.avg(k.cast("double")), 6)
+    d = units.groupBy("game").agg(
+        F.count("*").alias("n_units"), F.count_if(on).alias("n_targets"), F.count_if(~on).alias("n_context"), F.sum("word_count").cast("bigint").alias("n_words"), F.coalesce(F.sum(F.when(on, F.col("word_count"))), F.lit(0)).cast("bigint").alias("n_target_words"),
+        F.coalesce(F.sum(F.when(~on, F.col("word_count"))), F.lit(0)).cast("bigint").alias("n_context_words"), share(on).alias("target_share"), share(~on).alias("context_share"), *summary("word_count", "words"),
+    )
+    return d.join(lexical(units, ["game"], "text"), "game", "left")
+
+
+def describe_unit_types(units: DataFrame) -> DataFrame:
+    """Context units per game, type and whether they are targets."""
+    return units.groupBy("game", "unit_type", "included").agg(F.count("*").alias("n_units"), F.sum("word_count").cast("bigint").alias("n_words"), *summary("word_count", "words"))
+
+
 def describe_labels(m: DataFrame, dim: DataFrame) -> DataFrame:
     s = label_shares(m, dim)
     words = m.groupBy("game", "primary_label").agg(F.round(F.avg("words"), 6).alias("mean_words"), F.median("words").cast("double").alias("median_words"))
@@ -130,3 +162,23 @@ def neighbours(items: DataFrame, matches: DataFrame, window: int = 2) -> DataFra
     j = wanted.join(placed, ["document_id", "rn"])
     own = j.groupBy("item_id").agg(F.min_by(F.struct("match_id", "distance"), F.struct("match_rn", "match_id")).alias("x"))
     return own.select("item_id", "x.match_id", "x.distance")
+
+
+def confusion_matrix(pairs: DataFrame, labels: list[str], manual: str = "manual", model: str = "primary_label") -> DataFrame:
+    """(manual, one column per label in label order): the dense matrix, labels that nothing has as zeros."""
+    rows = pairs.sparkSession.createDataFrame([(k, i) for i, k in enumerate(labels)], "__label string, label_order int")
+    counted = pairs.groupBy(F.col(manual).alias("__label")).agg(*[F.count_if(F.col(model) == k).alias(k) for k in labels])
+    return F.broadcast(rows).join(counted, "__label", "left").select(F.col("__label").alias("manual"), "label_order", *[F.coalesce(k, F.lit(0).cast("bigint")).alias(k) for k in labels])
+
+
+def with_annotations(items: DataFrame, latest: DataFrame) -> DataFrame:
+    """Items with their annotation, also those without one."""
+    return items.join(latest.select("item_id", "primary_label", "confidence"), "item_id", "left")
+
+
+def inspection_text(df: DataFrame) -> DataFrame:
+    """(item_id, markdown): each item with its context, label and target as a section of a report."""
+    some = lambda c, other: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(other))
+    head = F.concat(F.lit("## "), "item_id", F.lit("\n\n- game: "), some("game", ""), F.lit("\n- patch: "), some("patch_id", ""), F.lit("\n- label: "), some("primary_label", "(none)"))
+    part = lambda name, c: F.concat(F.lit(f"\n\n### {name}\n\n"), some(c, "(empty)"))
+    return df.select("item_id", F.concat(head, part("Context before", "context_before"), part("Target", "target_text"), part("Context after", "context_after"), F.lit("\n")).alias("markdown"))

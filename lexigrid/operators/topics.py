@@ -129,3 +129,14 @@ def roc(scored: DataFrame, buckets: int = 1024) -> DataFrame:
     inside = Window.partitionBy("b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     j = c.join(per, "b")
     return j.select(F.col("score").alias("threshold"), F.round(F.try_divide((F.col("ap") + F.sum("pos").over(inside)).cast("double"), F.col("tp_all")), 9).alias("tpr"), F.round(F.try_divide((F.col("an") + F.sum("neg").over(inside)).cast("double"), F.col("fp_all")), 9).alias("fpr"))
+
+
+def save_pipeline(model, path: str, overwrite: bool = False) -> None:
+    """A fitted pipeline on disk; an existing one is an error unless overwritten."""
+    (model.write().overwrite() if overwrite else model.write()).save(path)
+
+
+def load_pipeline(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

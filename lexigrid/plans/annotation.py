@@ -125,11 +125,11 @@ def _values(spark, sf, metric="change_documentation"):
 
 
 def stats_permutation(spark, sf):
-    return stats.permutation(_values(spark, sf), 50)
+    return stats.permutation(_values(spark, sf))
 
 
 def stats_bootstrap(spark, sf):
-    return stats.bootstrap(_values(spark, sf), 50)
+    return stats.bootstrap(_values(spark, sf))
 
 
 def stats_cliffs_delta(spark, sf):
@@ -139,7 +139,7 @@ def stats_cliffs_delta(spark, sf):
 def stats_holm(spark, sf):
     t = None
     for name, _ in A.METRICS[:2]:
-        one = stats.permutation(_values(spark, sf, name), 20).select(F.lit(name).alias("metric"), "p_value")
+        one = stats.permutation(_values(spark, sf, name)).select(F.lit(name).alias("metric"), "p_value")
         t = one if t is None else t.unionByName(one)
     return stats.holm(t)
 
@@ -252,13 +252,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT game, document_id, count(*) AS n_items, CAST(sum(words) AS BIGINT) AS n_words, count(*) FILTER (target_type = 'stat_or_list_line') AS n_stat, round(avg(CAST(target_type = 'stat_or_list_line' AS DOUBLE)), 6) AS share_stat, min_by(title, item_order) AS title, {summ("words", "item_words")} FROM t GROUP BY game, document_id""",
         "describe_labels": f"WITH {SHARES}, w AS (SELECT game, primary_label, round(avg(words), 6) AS mean_words, CAST(median(words) AS DOUBLE) AS median_words FROM m GROUP BY ALL) SELECT s.*, mean_words, median_words FROM shares s LEFT JOIN w USING (game, primary_label)",
         "describe_metrics": f"WITH {LOG}, {MDIM}, g AS (SELECT game, metric, count(*) AS n_items, CAST(sum(words) AS BIGINT) AS n_words, round(avg(words), 6) AS mean_words FROM m JOIN mdim USING (primary_label) GROUP BY ALL) SELECT *, round(n_items / sum(n_items) OVER (PARTITION BY game), 6) AS item_share, round(n_words / sum(n_words) OVER (PARTITION BY game), 6) AS word_share FROM g",
-        "stats_permutation": f"WITH {LOG}, {values()}, {perm(50)} SELECT * FROM res",
+        "stats_permutation": f"WITH {LOG}, {values()}, {perm(200)} SELECT * FROM res",
         "stats_bootstrap": f"""WITH {LOG}, {values()}, pl AS (SELECT grp, v, row_number() OVER (PARTITION BY grp ORDER BY md5(id), id) AS place FROM vals), n AS (SELECT grp, count(*) AS n FROM vals GROUP BY grp),
-            dr AS (SELECT grp, rep, {UNIT("'43'", "grp", "CAST(rep AS VARCHAR)", "CAST(j AS VARCHAR)")} % n + 1 AS place FROM n, range(1, 51) r(rep), range(1, n + 1) s(j)),
+            dr AS (SELECT grp, rep, {UNIT("'43'", "grp", "CAST(rep AS VARCHAR)", "CAST(j AS VARCHAR)")} % n + 1 AS place FROM n, range(1, 201) r(rep), range(1, n + 1) s(j)),
             mn AS (SELECT rep, avg(v) FILTER (grp = 'x') - avg(v) FILTER (grp = 'y') AS d FROM dr JOIN pl USING (grp, place) GROUP BY rep)
             SELECT round(quantile_cont(d, 0.025), 9) AS low, round(quantile_cont(d, 0.975), 9) AS high FROM mn""",
         "stats_cliffs_delta": f"WITH {LOG}, {values()} SELECT (SELECT count(*) FROM vals WHERE grp = 'x') AS n_x, (SELECT count(*) FROM vals WHERE grp = 'y') AS n_y, round(avg(sign(a.v - b.v)), 9) AS delta FROM vals a, vals b WHERE a.grp = 'x' AND b.grp = 'y'",
-        "stats_holm": "WITH " + LOG + ", " + ", ".join(f"r{i} AS (WITH {values(n)}, {perm(20)} SELECT '{n}' AS metric, p_value FROM res)" for i, (n, _) in enumerate(A.METRICS[:2])) + """,
+        "stats_holm": "WITH " + LOG + ", " + ", ".join(f"r{i} AS (WITH {values(n)}, {perm(200)} SELECT '{n}' AS metric, p_value FROM res)" for i, (n, _) in enumerate(A.METRICS[:2])) + """,
             t AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1), k AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p_value, metric) + 1) * p_value AS raw FROM t)
             SELECT metric, p_value, round(least(1.0, max(raw) OVER (ORDER BY p_value, metric ROWS UNBOUNDED PRECEDING)), 9) AS holm_p FROM k""",
         "stratified_split": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, kind, CASE WHEN row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR)) <= floor(count(*) OVER (PARTITION BY kind) * 0.2) THEN 'test' ELSE 'train' END AS part FROM documents""",

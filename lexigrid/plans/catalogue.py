@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("profile", "corpus", "ngram", "annotation", "pages", "io", "timestamps")
+MODULES = ("profile", "corpus", "ngram", "annotation", "pages", "io", "timestamps", "reports")
 
 
 def _modules():

@@ -269,3 +269,46 @@ def test_context_score_of_kinds(spark):
 def test_closing_lines_are_context(spark):
     df = corpus(spark, "2025 Valve Corporation, all rights reserved.\nDamage increased by 5.")
     assert [(r.unit_type, r.included) for r in C.units(df).orderBy("unit_order").collect()] == [("context_only_short_unit", False), ("stat_or_list_line", True)]
+
+
+def test_batch_counts_only_successes(spark):
+    recs = spark.createDataFrame([(i, t, "Demra" if i % 2 else "", t.split()) for i, t in enumerate(["we hold the line", "we hold the gate", "the gate falls", "hold the line now"])], "record_id long, quote string, effective_region string, tokens array<string>")
+    g = N.grid(spark, region=["Nowhere", "Demra", ""], seed=["the"], temperature=[1.0, 0.5], top_k=[2], random_seed=[3], tokens=[3], backoff_mode=["interpolate"], backoff_alpha=[0.4], sentence_mode=[False]).coalesce(1).withColumn("batch_no", F.monotonically_increasing_id())
+    rows = N.run_batch(g, recs, 2, limit=3).orderBy("batch_no").collect()
+    assert [r.status[:7] for r in rows] == ["skipped", "skipped", "ok", "ok", "ok"] and all((r.text is not None) == (r.status == "ok") for r in rows)
+    assert rows[2].text.lower().startswith("the") and rows[2].num_source_quotes == 2 and rows[4].num_source_quotes == 4 and rows[4].condition_summary == "global"
+    assert {r.n_ok for r in N.batch_diagnostics(N.run_batch(g, recs, 2)).collect()} == {2}
+    assert N.run_batch(g.where("region = 'Nowhere'"), recs, 2).where("text IS NOT NULL").count() == 0
+
+
+def test_model_and_batch_on_disk(spark, tmp_path):
+    recs = spark.createDataFrame([(1, "a b", "", ["a", "b"])], "record_id long, quote string, effective_region string, tokens array<string>")
+    N.save_model(recs, N.continuous_counts(recs, 2, "effective_region"), f"{tmp_path}/m")
+    with pytest.raises(FileExistsError):
+        N.save_model(recs, recs, f"{tmp_path}/m")
+    r, c = N.load_model(spark, f"{tmp_path}/m")
+    assert r.count() == 1 and c.count() == 3
+    g = N.grid(spark, region=[""], seed=["a"], temperature=[1.0], top_k=[1], random_seed=[1], tokens=[1], backoff_mode=["interpolate"], backoff_alpha=[0.4], sentence_mode=[False]).withColumn("batch_no", F.lit(1))
+    N.write_batch(N.run_batch(g, recs, 2), f"{tmp_path}/b")
+    assert spark.read.json(f"{tmp_path}/b/outputs_jsonl").collect()[0].text == "A b" and spark.read.json(f"{tmp_path}/b/diagnostics").collect()[0].n_ok == 1
+
+
+def test_pipeline_on_disk(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"alpha beta gamma delta word{i % 3} " * 3, "ab"[i % 2]) for i in range(30)], "id int, text string, kind string")
+    m = K.forest(df, "text", "kind", k=2, trees=2)
+    K.save_pipeline(m, f"{tmp_path}/p")
+    a, b = m.transform(df), K.load_pipeline(f"{tmp_path}/p").transform(df)
+    assert [r.prediction for r in a.orderBy("id").collect()] == [r.prediction for r in b.orderBy("id").collect()]
+
+
+def test_answers_joined_back(spark):
+    sent = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (2, 1, "z")], "batch_no int, item_no int, item_id string")
+    answers = spark.createDataFrame([(1, "item_002", "l"), (2, "item_001", "k"), (2, "item_009", "k")], "batch_no int, prompt_id string, primary_label string")
+    assert sorted((r.prompt_id, r.item_id) for r in A.joined_back(answers, sent).collect()) == [("item_001", "z"), ("item_002", "y"), ("item_009", None)]
+    item = A.answer_schema(["a", "b"])["properties"]["items"]["items"]
+    assert item["properties"]["primary_label"]["enum"] == ["a", "b"] and "prompt_id" in item["required"]
+
+
+def test_dense_confusion(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "a")], "manual string, primary_label string")
+    assert [tuple(r) for r in shares.confusion_matrix(df, ["b", "a"]).orderBy("label_order").collect()] == [("b", 0, 0, 0), ("a", 1, 1, 1)]
