@@ -189,3 +189,19 @@ def post_clean(c) -> Column:
 def md5_unit(*cols) -> Column:
     """A number in [0, 2^32) from the MD5 of the columns: the same in every engine."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
+
+
+def squeeze_lines(c) -> Column:
+    """Each line squeezed, blank lines left out."""
+    return F.array_join(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), r"\r\n|\n|\r"), squeeze), lambda x: x != ""), "\n")
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, to the second, with its zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def mapped(c, names: dict) -> Column:
+    """The name of a value, or the value itself where it has none."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+    return c if table is None else F.coalesce(table[c], c)

@@ -256,3 +256,40 @@ def manifest_lookup(pages: DataFrame, manifest: DataFrame) -> DataFrame:
     a, b = last.select(F.col("key").alias("k1"), F.col("m").alias("m1")), last.select(F.col("key").alias("k2"), F.col("m").alias("m2"))
     j = pages.select("path", stem.alias("stem")).join(a, F.col("path") == F.col("k1"), "left").join(b, F.col("stem") == F.col("k2"), "left")
     return j.select("path", F.coalesce("m1", "m2").alias("m")).select("path", "m.*")
+
+
+def marked_media_text(b: DataFrame) -> DataFrame:
+    """(path, text) of blocks (path, pos, tag, block_type, text, alt, src) in the other form: quotes, media and rules marked,
+    a blank line between blocks."""
+    tag, kind = F.col("tag"), F.col("block_type")
+    line = (
+        F.when(tag.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "), "text"))
+        .when((tag == "li") | (kind == "list_item"), F.concat(F.lit("- "), "text"))
+        .when((tag == "blockquote") | (kind == "blockquote"), F.concat(F.lit("> "), "text"))
+        .when((tag == "img") | (kind == "media"), F.concat(F.lit("!["), F.coalesce(F.nullif("alt", F.lit("")), F.nullif("text", F.lit("")), F.lit("image")), F.lit("]("), F.coalesce("src", F.lit("")), F.lit(")")))
+        .when((tag == "hr") | (kind == "separator"), "---")
+        .otherwise(F.col("text"))
+    )
+    g = b.select("path", "pos", line.alias("line")).groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("ls"))
+    return g.select("path", F.concat(F.array_join("ls", "\n\n"), F.lit("\n")).alias("text"))
+
+
+def page_records(pages: DataFrame, done: DataFrame | None, read) -> DataFrame:
+    """One record per page (path, content) with status and error: pages that `done` has are left out, a page that read()
+    fails on becomes a row with its error. read: content -> text."""
+    schema = "path string, text string, n_text_chars bigint, status string, error string"
+    if done is not None:
+        pages = pages.join(done.select("path"), "path", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, c in zip(pdf["path"], pdf["content"]):
+                try:
+                    t = read(c)
+                    rows.append((p, t, len(t or ""), "ok", None))
+                except Exception as e:  # noqa: BLE001  a bad page must not end the run
+                    rows.append((p, None, 0, "error", f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "text", "n_text_chars", "status", "error"])
+
+    return spread(pages.select("path", "content")).mapInPandas(run, schema)

@@ -289,3 +289,33 @@ def structured_pages(pages: DataFrame, done: DataFrame | None = None, base: str
 def page_blocks(structured: DataFrame) -> DataFrame:
     """(path, and a block's fields): one row per block."""
     return structured.select("path", F.explode("blocks").alias("b")).select("path", "b.*")
+
+
+#: Marks of small furniture in an element's role, label, test id, class or id.
+FURNITURE_MARKS = ("cookie", "newsletter", "share", "social", "breadcrumb")
+
+
+def strip_marked(root: Node) -> None:
+    """Takes out hidden elements and elements under 300 letters whose attributes name furniture."""
+    for n in list(root.walk()):
+        marks = " ".join(str(n.attrs.get(a, "")) for a in ("role", "aria-label", "data-testid", "class", "id")).lower()
+        small = n.parent is not None and any(m in marks for m in FURNITURE_MARKS) and len(n.text()) < 300
+        if n.parent is not None and (n.tag in HIDDEN or small):
+            n.parent.children = [c for c in n.parent.children if c is not n]
+            for p in n.up():
+                p.cache = None
+
+
+def element_path(n: Node) -> str:
+    """The place of an element: its ancestors below html, each with its id and its number among its siblings of one tag."""
+    parts = []
+    while n is not None and n.parent is not None and n.tag != "html":
+        same = [x for x in n.parent.children if isinstance(x, Node) and x.tag == n.tag]
+        own = n.attrs.get("id")
+        parts.append(f"{n.tag}{'#' + own if own else ''}:nth-of-type({next(i for i, x in enumerate(same, 1) if x is n)})")
+        n = n.parent
+    return " > ".join(reversed(parts))
+
+
+def kept_attributes(n: Node) -> dict:
+    return {a: n.attrs[a] for a in ("id", "class", "href", "src", "alt", "title", "datetime") if a in n.attrs}

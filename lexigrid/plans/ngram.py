@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -90,15 +92,16 @@ def lm_greedy(spark, sf):
     """Greedy continuation of each region's most frequent history, by a recursive query over the arg-max table."""
     c = counts(spark, sf).where(F.col("ord") == ORDER)
     best = cut(c.groupBy("cond", "history").agg(F.min_by("token", F.struct(-F.col("cnt"), F.col("token"))).alias("token"), F.sum("cnt").alias("n")))
-    best.createOrReplaceTempView("__lm_best")
+    view = f"lm_best_{uuid.uuid4().hex}"  # a name of its own, so that callers don't overwrite each other's
+    best.createOrReplaceTempView(view)
     return spark.sql(
-        """
-        WITH RECURSIVE start AS (SELECT cond, min_by(history, struct(-n, history)) AS history FROM __lm_best GROUP BY cond),
+        f"""
+        WITH RECURSIVE start AS (SELECT cond, min_by(history, struct(-n, history)) AS history FROM {view} GROUP BY cond),
         walk(cond, step, history, token) AS (
           SELECT cond, 0, history, CAST(NULL AS STRING) FROM start
           UNION ALL
           SELECT w.cond, w.step + 1, concat(substring_index(w.history, ' ', -1), ' ', b.token), b.token
-          FROM walk w JOIN __lm_best b ON w.cond = b.cond AND w.history = b.history WHERE w.step < 20)
+          FROM walk w JOIN {view} b ON w.cond = b.cond AND w.history = b.history WHERE w.step < 20)
         SELECT cond, step, token FROM walk WHERE step > 0
         """
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexigrid.functions import text as X, urls as U
 from lexigrid.operators import hydrate as H, pages as P, structure, topics as K
@@ -174,10 +175,8 @@ def topic_forest(spark, sf):
 
 def topic_nmf(spark, sf):
     """Non-negative topic factors of the vocabulary's words: the ten heaviest of each factor."""
-    from pyspark.sql.window import Window
-
     docs = table(spark, sf, "documents")
-    vocab = K.vocabulary(docs, "doc_id", "text", max_features=500).withColumn("term", F.hash("word"))
+    vocab = K.vocabulary(docs, "doc_id", "text", max_features=500).withColumn("term", F.row_number().over(Window.orderBy("word")))  # at most max_features words
     w = docs.select(F.col("doc_id").cast("int").alias("doc"), F.explode(K.bag_tokens(F.col("text"))).alias("word")).join(vocab.select("word", "term"), "word").groupBy("doc", "term").agg(F.sqrt(F.count("*").cast("double")).alias("weight"))
     model = K.nmf(cut(w), k=6, max_iter=5)
     f = K.long_scores(model.itemFactors, "id", "features").join(vocab.select("term", "word"), F.col("id") == F.col("term"))

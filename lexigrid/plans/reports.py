@@ -118,8 +118,50 @@ def lm_model_roundtrip(spark, sf):
     return a.unionByName(counts.groupBy(F.concat(F.lit("order_"), F.col("ord").cast("string")).alias("part")).agg(F.count("*").alias("n"), F.sum("cnt").cast("bigint").alias("total")))
 
 
+def manifest_unified(spark, sf):
+    """Rows by origin and status of the unified manifest, and how many name a page's text."""
+    from lexigrid.sources import sinks
+
+    m = sinks.unified_manifest(table(spark, sf, "page_manifest"), table(spark, sf, "scrape_results"))
+    return m.groupBy("manifest", "status").agg(F.count("*").alias("n_rows"), F.count("text_path").alias("n_texts"), F.count("canonical_url").alias("n_canonical"))
+
+
+def artefact_paths(spark, sf):
+    """Where the artefacts of each page go, by its kind and id."""
+    from lexigrid.sources import sinks
+
+    m = table(spark, sf, "page_manifest").select("output_id").distinct()
+    kind = F.when(F.length("output_id") % 3 == 0, "patch_page").when(F.length("output_id") % 3 == 1, "newsentry").otherwise("microsite")
+    return m.select("output_id", sinks.page_paths(kind, F.col("output_id")).alias("p")).select("output_id", "p.*")
+
+
+def lines_squeezed(spark, sf):
+    """The clean texts with each line squeezed and blank lines left out."""
+    d = table(spark, sf, "patchnote_corpus").select("document_id", "clean_text").dropDuplicates()
+    return d.select("document_id", X.squeeze_lines("clean_text").alias("text"))
+
+
+def game_names(spark, sf):
+    """Documents by the shown name of their game."""
+    return table(spark, sf, "documents").groupBy(X.mapped(F.col("game"), GAME_NAMES).alias("game_label")).agg(F.count("*").alias("n"))
+
+
+def page_manifest_records(spark, sf):
+    """Status and length of each page read anew; pages of the scrape results are done already."""
+    from lexigrid.operators import pages as PG
+
+    done = table(spark, sf, "scrape_results").where("status = 'ok' AND raw_html_path IS NOT NULL").select(F.col("raw_html_path").alias("path")).distinct()
+
+    def read(content):
+        if "<html" not in content.lower():
+            raise ValueError("no page")
+        return content
+
+    return PG.page_records(table(spark, sf, "page_files"), done, read).select("path", "n_text_chars", "status", "error")
+
+
 def queries() -> dict:
-    names = "describe_targets_game describe_targets_type describe_units_game describe_units_type inspect_join inspect_report inspect_prompts validation_matrix corpus_sorted sources_union value_lists group_means entity_labels lm_batch_run lm_model_roundtrip"
+    names = "manifest_unified artefact_paths lines_squeezed game_names page_manifest_records describe_targets_game describe_targets_type describe_units_game describe_units_type inspect_join inspect_report inspect_prompts validation_matrix corpus_sorted sources_union value_lists group_means entity_labels lm_batch_run lm_model_roundtrip"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -141,6 +183,14 @@ def oracle_sql() -> dict[str, str]:
     hit = lambda g: f"lower(game) = '{g}' AND (" + " OR ".join(f"contains(lower(coalesce({c}, '')), {q(t)})" for c in S.SEARCHED for t in P.TERMS) + ")"
     js = lambda c: f"to_json(coalesce({c}, ''))"
     return {
+        "manifest_unified": """SELECT 'page' AS manifest, status, count(*) AS n_rows, count(text_path) AS n_texts, count(canonical_url) AS n_canonical FROM (SELECT DISTINCT * FROM page_manifest) p GROUP BY status
+            UNION ALL SELECT 'scrape', status, count(*), count(text_path), 0 FROM (SELECT DISTINCT * FROM scrape_results) s GROUP BY status""",
+        "artefact_paths": """WITH m AS (SELECT DISTINCT output_id, ['patches', 'news', 'microsites'][length(output_id) % 3 + 1] AS f FROM page_manifest)
+            SELECT output_id, 'raw_html/' || f || '/' || output_id || '.html' AS raw_html_path, 'article_html/' || f || '/' || output_id || '.html' AS article_html_path, 'text/' || f || '/' || output_id || '.txt' AS text_path, 'structured/pages/' || f || '/' || output_id || '.json' AS structured_path FROM m""",
+        "lines_squeezed": f"WITH d AS (SELECT DISTINCT document_id, clean_text FROM patchnote_corpus) SELECT document_id, array_to_string(list_filter(list_transform(regexp_split_to_array(coalesce(clean_text, ''), '\\r\\n|\\n|\\r'), lambda x: {PC.squeeze('x')}), lambda x: x <> ''), chr(10)) AS text FROM d",
+        "game_names": "SELECT CASE game WHEN 'emberfall' THEN 'Emberfall' WHEN 'duskline' THEN 'Duskline' ELSE game END AS game_label, count(*) AS n FROM documents GROUP BY 1",
+        "page_manifest_records": """SELECT path, CASE WHEN contains(lower(content), '<html') THEN length(content) ELSE 0 END AS n_text_chars, CASE WHEN contains(lower(content), '<html') THEN 'ok' ELSE 'error' END AS status,
+            CASE WHEN NOT contains(lower(content), '<html') THEN 'ValueError: no page' END AS error FROM page_files WHERE path NOT IN (SELECT raw_html_path FROM scrape_results WHERE status = 'ok' AND raw_html_path IS NOT NULL)""",
         "describe_targets_game": f"SELECT *, CASE game WHEN 'emberfall' THEN 'Emberfall' WHEN 'duskline' THEN 'Duskline' ELSE game END AS game_label FROM ({targets('game')}) x",
         "describe_targets_type": f"SELECT game, target_type, n_documents, n_targets, n_words, words_mean, words_median, words_std, tokens, types, ttr FROM ({targets('game, target_type')}) x",
         "describe_units_game": f"""WITH {PC.UNITS}, tk AS (SELECT game, lower(unnest(regexp_extract_all(text, {q(X.WORD)}))) AS x FROM units), lx AS (SELECT game, count(*) AS tokens, count(DISTINCT x) AS types, round(count(DISTINCT x) / count(*), 6) AS ttr FROM tk GROUP BY game),

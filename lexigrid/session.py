@@ -30,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary folder only where the session names none."""
+    """The shared folder of spark.checkpoint.dir; where the session names none, a temporary folder on a single machine and an
+    error on a cluster, whose executors don't share one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = os.path.join(tempfile.gettempdir(), "lexigrid-checkpoints")
     if not sc.getCheckpointDir():

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lexigrid.functions import text as X, urls as U
 from lexigrid.operators import hydrate
@@ -60,17 +60,18 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def json_lines_zip(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the .json and .jsonl members of zip archives, streamed line by line, with source_pos in each archive.
 
-    A zip can't be split, so an archive is one task; its lines are never held together.
+    A zip can't be split, so an archive is one task, which opens it by its path in the worker (a local or mounted folder);
+    neither the archive, of any size, nor its lines are ever held together.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
         import zipfile
+        from urllib.parse import unquote, urlparse
 
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
+            for name in pdf["path"]:
                 pos, rows = 0, []
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                with zipfile.ZipFile(unquote(urlparse(name).path)) as z:
                     for member in sorted(z.namelist()):
                         if not member.endswith((".json", ".jsonl")):
                             continue
@@ -83,7 +84,7 @@ def json_lines_zip(spark: SparkSession, path: str, schema: str) -> DataFrame:
                                     rows = []
                 yield pd.DataFrame(rows, columns=["archive", "source_pos", "value"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, source_pos bigint, value string")
+    raw = spark.read.format("binaryFile").load(path).select("path").mapInPandas(run, "archive string, source_pos bigint, value string")
     ok = raw.where(F.try_parse_json("value").isNotNull())
     return ok.select("archive", "source_pos", F.from_json("value", schema).alias("r")).select("archive", "source_pos", "r.*")
 
@@ -140,3 +141,46 @@ def system_prompt(book: dict, examples: int = 2) -> str:
             if ex:
                 out.append(f"  {name}: " + " | ".join(ex))
     return "\n".join(out)
+
+
+def resolve(explicit: str | None, known: tuple, root: str, pattern: str) -> str:
+    """The path of a source: the one given, else the first known place, else the first in order below a folder; a missing
+    source is an error."""
+    if explicit:
+        if not Path(explicit).exists():
+            raise FileNotFoundError(explicit)
+        return explicit
+    for p in known:
+        if Path(p).exists():
+            return str(p)
+    below = sorted(map(str, Path(root).rglob(pattern))) if Path(root).exists() else []
+    if not below:
+        raise FileNotFoundError(f"{pattern} below {root}")
+    return below[0]
+
+
+def reuse(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
+    """A table that was written before, or, where it is missing or `force`, the one that build() gives, written first."""
+    from lexigrid.sources import sinks
+
+    if force or not sinks.exists(spark, path):
+        sinks.write(build(), path, overwrite=force)
+    return spark.read.parquet(path)
+
+
+def json_values(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content): JSON files as valid UTF-8, bad bytes replaced; files that are no JSON have null."""
+    f = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+    return f.select("path", F.when(F.try_parse_json("content").isNotNull(), F.col("content")).alias("content"))
+
+
+def comma_list(c) -> Column:
+    """The parts of a comma list, trimmed, blank ones left out."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def html_or_text(spark: SparkSession, html_path: str, text_path: str) -> DataFrame:
+    """(stem, kind, content): HTML files, and for stems that have none the text files."""
+    h = whole_files(spark, html_path, ".html").select("stem", F.lit("html").alias("kind"), "content")
+    t = whole_files(spark, text_path, ".txt").select("stem", F.lit("text").alias("kind"), "content")
+    return h.unionByName(t.join(h.select("stem"), "stem", "left_anti"))

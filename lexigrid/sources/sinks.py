@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 FORMATS = ("parquet", "json", "csv")
 
@@ -56,10 +56,58 @@ def run_id(stamp: str, n_topics: int, seed: int, encoder: str) -> str:
     return f"{stamp}_topics{n_topics}_seed{seed}_{slug}"
 
 
-def markdown(df: DataFrame, title: str = "", digits: int = 4, most: int = 1000) -> str:
-    """A small result table as Markdown (the first `most` rows of a report)."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame, title: str = "", digits: int = 4) -> str:
+    """A result table as Markdown, every row of it: for reports that were aggregated before."""
+    rows = df.collect()
     cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("\n", " ").replace("|", "\\|")
     lines = [f"## {title}", ""] if title else []
     lines += ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def unified_manifest(pages: DataFrame, scrapes: DataFrame) -> DataFrame:
+    """Rows of both manifests under the union of their columns, each marked with its origin, each delivery once."""
+    return merge_schemas([pages.dropDuplicates().withColumn("manifest", F.lit("page")), scrapes.dropDuplicates().withColumn("manifest", F.lit("scrape"))])
+
+
+def checkpointed_manifest(rows: DataFrame, path: str) -> DataFrame:
+    """Appends the rows of one step of a run to a manifest and returns the manifest; what earlier steps wrote stays, so a
+    run that was cut short goes on where it ended (rows whose output_id is there already are left out)."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        rows = rows.join(spark.read.parquet(path).select("output_id"), "output_id", "left_anti")
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def corpus_tables(corpus: DataFrame, skipped: DataFrame, items: DataFrame) -> dict[str, DataFrame]:
+    """The tables beside a corpus: an audit without the texts, the skipped files, and the items to look at by hand (change-like
+    texts of two words or fewer)."""
+    return {"corpus": corpus, "corpus_audit": corpus.drop("clean_text"), "skipped": skipped, "manual_review": items.where("target_word_count <= 2")}
+
+
+def run_metadata(spark: SparkSession, inputs: list[str], **settings) -> DataFrame:
+    """One row: the UTC time of the run, its settings as JSON, and the hashes of its input files."""
+    import json
+
+    hashes = [file_hashes(spark, p) for p in inputs]
+    every = hashes[0] if hashes else spark.createDataFrame([], "path string, length bigint, sha256 string")
+    for h in hashes[1:]:
+        every = every.unionByName(h)
+    return every.agg(F.array_sort(F.collect_list(F.struct("path", "length", "sha256"))).alias("inputs")).select(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.lit(json.dumps(settings, sort_keys=True, default=str)).alias("settings"), "inputs")
+
+
+def page_folder(source_kind) -> Column:
+    """The sub-folder of a page's kind; an unknown kind is an error."""
+    kinds = (("patch_page", "patches"), ("newsentry", "news"), ("microsite", "microsites"))
+    out = F.raise_error(F.concat(F.lit("unknown source kind: "), F.coalesce(source_kind, F.lit("null"))))
+    for kind, folder in reversed(kinds):
+        out = F.when(source_kind == kind, folder).otherwise(out)
+    return out
+
+
+def page_paths(source_kind, output_id) -> Column:
+    """A struct of the four artefacts' paths of a page."""
+    at = page_folder(source_kind)
+    path = lambda root, end: F.concat(F.lit(root + "/"), at, F.lit("/"), output_id, F.lit(end))
+    return F.struct(path("raw_html", ".html").alias("raw_html_path"), path("article_html", ".html").alias("article_html_path"), path("text", ".txt").alias("text_path"), path("structured/pages", ".json").alias("structured_path"))

@@ -19,7 +19,7 @@ def stream(spark, folder: str, schema, log_path: str, checkpoint: str, label=Non
         items = batch.dropDuplicates(["item_id"])
         if sinks.exists(spark, log_path):
             items = annotate.pending(items, spark.read.parquet(log_path))
-        rows = items.select("item_id", label(F.col("target_text")).alias("primary_label"), F.lit(1.0).alias("confidence"), F.lit("ok").alias("annotation_status"), (F.lit(number) * F.lit(2**40) + F.monotonically_increasing_id()).alias("append_seq"))
+        rows = items.select("item_id", label(F.col("target_text")).alias("primary_label"), F.lit(1.0).alias("confidence"), F.lit("ok").alias("annotation_status"), (F.lit(number).cast("decimal(18,0)") * F.expr("CAST(9223372036854775808 AS DECIMAL(19,0))") + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("append_seq"))
         rows.write.mode("append").parquet(log_path)
 
     w = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)

@@ -101,3 +101,69 @@ def test_stream_takes_each_item_once(spark, tmp_path):
     rows = spark.read.parquet(log).collect()
     assert sorted(r.item_id for r in rows) == ["a", "b", "c"]
     assert {r.item_id: r.primary_label for r in annotate.latest_ok(spark.read.parquet(log)).collect()}["a"] == "corrective_maintenance"
+
+
+def test_sources_are_resolved_and_reused(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    for n in ("b/y.zip", "b/x.zip"):
+        (tmp_path / n).write_text("")
+    assert files.resolve(None, (tmp_path / "no",), str(tmp_path), "*.zip").endswith("x.zip") and files.resolve(str(tmp_path / "b/y.zip"), (), "", "*").endswith("y.zip")
+    for args in ((str(tmp_path / "no"), (), "", "*"), (None, (), str(tmp_path / "none"), "*.zip")):
+        with pytest.raises(FileNotFoundError):
+            files.resolve(*args)
+    built = []
+    build = lambda: built.append(1) or spark.range(3)
+    assert files.reuse(spark, str(tmp_path / "t"), build).count() == files.reuse(spark, str(tmp_path / "t"), build).count() == 3 and len(built) == 1
+    files.reuse(spark, str(tmp_path / "t"), build, force=True)
+    assert len(built) == 2
+
+
+def test_bad_bytes_lists_and_fallback(spark, tmp_path):
+    (tmp_path / "a.json").write_bytes(b'{"x": "\xff"}')
+    (tmp_path / "b.json").write_bytes(b"no")
+    got = sorted(r.content or "" for r in files.json_values(spark, str(tmp_path / "*.json")).collect())
+    assert got == ["", '{"x": "\ufffd"}']
+    assert spark.range(1).select(files.comma_list(F.lit(" a, ,b,")).alias("x")).collect()[0].x == ["a", "b"]
+    for d, n, t in (("h", "one.html", "<p>"), ("t", "one.txt", "x"), ("t", "two.txt", "y")):
+        (tmp_path / d).mkdir(exist_ok=True)
+        (tmp_path / d / n).write_text(t)
+    assert sorted((r.stem, r.kind) for r in files.html_or_text(spark, str(tmp_path / "h"), str(tmp_path / "t")).collect()) == [("one", "html"), ("two", "text")]
+
+
+def test_manifests_metadata_and_paths(spark, tmp_path):
+    df = spark.createDataFrame([("a", "ok"), ("b", "ok")], "output_id string, status string")
+    path = str(tmp_path / "m")
+    assert sinks.checkpointed_manifest(df.limit(1), path).count() == 1 and sinks.checkpointed_manifest(df, path).count() == 2
+    (tmp_path / "in.txt").write_text("abc")
+    m = sinks.run_metadata(spark, [str(tmp_path / "in.txt")], seed=7).collect()[0]
+    assert m.inputs[0].sha256.startswith("ba7816bf") and m.settings == '{"seed": 7}' and m.created_at.endswith("Z")
+    assert sinks.run_metadata(spark, []).collect()[0].inputs == []
+    p = df.select(sinks.page_paths(F.lit("newsentry"), F.col("output_id")).alias("p")).collect()[0].p
+    assert p.text_path == "text/news/a.txt"
+    with pytest.raises(Exception, match="unknown source kind"):
+        df.select(sinks.page_folder(F.lit("x"))).collect()
+    corpus = spark.createDataFrame([("d", "t", 1)], "document_id string, clean_text string, target_word_count int")
+    t = sinks.corpus_tables(corpus, corpus.limit(0), corpus)
+    assert "clean_text" not in t["corpus_audit"].columns and t["manual_review"].count() == 1
+    assert sinks.markdown(spark.range(1500)).count("\n") == 1502
+
+
+def test_log_numbers_rise_over_partitions(spark, tmp_path):
+    src, log = str(tmp_path / "src"), str(tmp_path / "log")
+    for k in range(2):
+        spark.range(300).selectExpr(f"concat('{k}_', id) AS item_id", "'x' AS target_text").repartition(200).write.mode("append").parquet(src)
+        resume.stream(spark, src, "item_id string, target_text string", log, str(tmp_path / "c")).awaitTermination()
+    r = spark.read.parquet(log).selectExpr("item_id LIKE '0%' AS first", "append_seq")
+    a, b = r.where("first").agg(F.max("append_seq")).collect()[0][0], r.where("NOT first").agg(F.min("append_seq")).collect()[0][0]
+    assert a < b and r.count() == 600
+
+
+def test_page_json(spark):
+    page = """<html><script id="__NEXT_DATA__" type="x">{"a": [{"title": "News"}, {"title": "Patch 1.2", "url": "/u", "description": {"body": "<p>One  two</p>"}, "publishedAt": "2024-01-02T00:00:00Z"},
+      {"category": {"title": "Game"}, "analytics": {"contentLocale": "en-us"}, "action": {"payload": {"url": "/v"}}, "href": "/u"}]}</script></html>"""
+    f = nested.page_fields(page)
+    assert f == {"title": "Patch 1.2", "published_at": "2024-01-02T00:00:00Z", "description": "One two", "category": "Game", "locale": "en-us"}
+    assert nested.listed_urls(page) == [("/u", "Patch 1.2"), ("/v", "")]
+    df = spark.createDataFrame([(page,), ("<p>",), (None,)], "c string")
+    got = df.select(nested.page_fields_of(F.col("c")).alias("f"), nested.listed_urls_of(F.col("c")).alias("u")).collect()
+    assert got[0].f.title == "Patch 1.2" and got[1].f.title is None and got[2].u == [] and len(got[0].u) == 2

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from lexigrid import pipeline
-from lexigrid.operators import structure as S
+from lexigrid.operators import pages, structure as S
 
 PAGE = """<html><head><title> My page </title><meta property="og:description" content="about"><link rel="canonical" href="/c"></head><body>
 <nav><a href="/a">A</a><a href="/b">B</a></nav><article><h1>Top</h1><p>Intro of March 3, 2020<p>Next <b>one</b><h2>Sub</h2><ul><li>x<p>y</p><li>z</ul>
@@ -48,3 +48,17 @@ def test_pipeline(spark, sf, tmp_path):
     assert t["items"].count() == t["annotations"].count() > 0 and t["label_shares"].count() == 7 * t["corpus_summary"].count()
     with pytest.raises(FileExistsError):
         pipeline.run(docs, str(tmp_path / "run"))
+
+
+def test_small_furniture_paths_and_attributes():
+    root = S.tree("<html><body><div class='share-box'>Share</div><div id=a><p>x</p><p class=k href=/u>y</p></div><div class=cookie>" + "long " * 100 + "</div></body></html>")
+    S.strip_marked(root)
+    assert root.text().startswith("x y long") and "Share" not in root.text()
+    p = [n for n in root.walk() if n.tag == "p"][1]
+    assert S.element_path(p) == "body:nth-of-type(1) > div#a:nth-of-type(1) > p:nth-of-type(2)" and S.kept_attributes(p) == {"class": "k", "href": "/u"}
+
+
+def test_media_text(spark):
+    rows = [("p", 0, "h2", "heading", "T", None, None), ("p", 1, "img", "media", "", "A", "/a.png"), ("p", 2, "hr", "separator", "", None, None), ("p", 3, "blockquote", "blockquote", "q", None, None), ("p", 4, "li", "list_item", "e", None, None)]
+    df = spark.createDataFrame(rows, "path string, pos int, tag string, block_type string, text string, alt string, src string")
+    assert pages.marked_media_text(df).collect()[0].text == "## T\n\n![A](/a.png)\n\n---\n\n> q\n\n- e\n"
