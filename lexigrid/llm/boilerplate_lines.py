@@ -106,16 +106,16 @@ def mine(corpus: DataFrame, text="clean_text", doc="document_id", source="game",
     return prefix_span(lines(corpus, text, doc, source), thresholds(corpus, doc, source, min_docs, min_share), max_len)
 
 
-def found(corpus: DataFrame, text="clean_text", doc="document_id", source="game", max_len=1, **kw) -> DataFrame:
-    """(document_id, line_no): the lines that occurrences of frequent sequences cover.
+def found(corpus: DataFrame, text="clean_text", doc="document_id", source="game", max_len=None, **kw) -> DataFrame:
+    """(document_id, line_no): the lines that occurrences of frequent sequences of every length cover.
 
-    Growth stops after level 1: a longer sequence has at most the support of each of its lines, so every line that it
-    could delete is itself a frequent sequence of one line. `mine` grows on to the longest."""
+    A longer sequence has at most the support of each of its lines, so any max_len gives the same rows, max_len=1 for the
+    least work."""
     _, occ = mine(corpus, text, doc, source, max_len=max_len, **kw)
     return occ.select(F.col("doc").alias("document_id"), F.explode("line_nos").alias("line_no")).distinct()
 
 
-def cleaned(corpus: DataFrame, text="clean_text", doc="document_id", source="game", max_len=1, **kw) -> DataFrame:
+def cleaned(corpus: DataFrame, text="clean_text", doc="document_id", source="game", max_len=None, **kw) -> DataFrame:
     """(document_id, game, clean_text, n_removed): each document once, without the found lines; null stays null."""
     _, occ = mine(corpus, text, doc, source, max_len=max_len, **kw)
     gone = (

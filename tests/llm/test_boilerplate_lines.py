@@ -33,3 +33,14 @@ def test_sequences_of_any_length(spark):
     pats, occ = B.mine(df)
     assert sorted(r.length for r in pats.collect()) == sorted(k for k in range(1, 9) for _ in range(9 - k))
     assert [r.line_nos for r in occ.where("length = 8").collect()] == [list(range(8))] * 4
+
+
+def test_found_and_clean_grow_every_level(spark, monkeypatch):
+    df = spark.createDataFrame([(f"d{i}", "g", f"own {chr(97 + i)}\na\nb\n\nc\nd\ne\nf\ng") for i in range(4)], "document_id string, game string, clean_text string")
+    mined, span = [], B.prefix_span
+    monkeypatch.setattr(B, "prefix_span", lambda *a: mined.append(span(*a)) or mined[-1])
+    assert {(r.document_id, r.line_no) for r in B.found(df).collect()} == {(f"d{i}", k) for i in range(4) for k in (1, 2, 4, 5, 6, 7, 8)}
+    assert {r.clean_text for r in B.cleaned(df).collect()} == {f"own {chr(97 + i)}\n" for i in range(4)}
+    for patterns, _ in mined:
+        assert sorted(r.length for r in patterns.collect()) == sorted(k for k in range(1, 8) for _ in range(8 - k))
+    assert len(mined) == 2
