@@ -7,6 +7,9 @@ from pyspark.sql.window import Window
 
 from lexigrid.operators.sampling import hash_rank
 
+#: Bootstrap draws that one task should make.
+TASK_DRAWS = 2_000_000
+
 
 def permutation(values: DataFrame, n_perm: int = 200, seed=42) -> DataFrame:
     """(difference, p_value) of the mean difference of group x and group y; values: (id, grp 'x' or 'y', v).
@@ -22,14 +25,27 @@ def permutation(values: DataFrame, n_perm: int = 200, seed=42) -> DataFrame:
     return diff.agg(F.round(F.max("observed"), 9).alias("difference"), F.round((F.count_if(F.abs("d") >= F.abs("observed") - 1e-12) + 1) / (F.count("*") + 1), 9).alias("p_value"))
 
 
-def bootstrap(values: DataFrame, n_boot: int = 200, seed=43) -> DataFrame:
-    """(low, high): the 2.5 and 97.5 percentiles of the mean difference over resamples with replacement."""
-    placed = hash_rank(values, ["grp"], F.md5("id"), F.col("id"), "place")
-    n = values.groupBy("grp").agg(F.count("*").alias("n"))
-    draws = n.select("grp", "n", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("rep")).select("grp", "n", "rep", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("j"))
-    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "grp", F.col("rep").cast("string"), F.col("j").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    draws = draws.withColumn("place", number % F.col("n") + 1)
-    got = draws.join(placed.select("grp", "place", "v"), ["grp", "place"])
+def bootstrap(values: DataFrame, n_boot: int = 200, seed=43, broadcast_rows: int = 200_000) -> DataFrame:
+    """(low, high): the 2.5 and 97.5 percentiles of the mean difference over resamples with replacement.
+
+    values as in permutation; a null id has the last place of its group. The draws (n_boot times the values) are a range
+    over many tasks and are never broadcast; up to broadcast_rows values go to the draws, more are joined by shuffle.
+    """
+    spark = values.sparkSession
+    sizes = {r.grp: r.n for r in values.where("grp IN ('x', 'y')").groupBy("grp").agg(F.count("*").alias("n")).collect()}  # two rows
+    n_x, n_y = sizes.get("x", 0), sizes.get("y", 0)
+    n_draws = (n_x + n_y) * n_boot
+    # keys: the places of x, then those of y
+    placed = hash_rank(values.where("grp IN ('x', 'y')"), ["grp"], F.coalesce(F.md5("id"), F.lit("g")), F.col("id"), "place")
+    placed = placed.select((F.col("place") + F.when(F.col("grp") == "x", 0).otherwise(n_x)).alias("key"), "grp", "v")
+    placed = F.broadcast(placed) if n_x + n_y <= broadcast_rows else placed.hint("shuffle_hash")  # a hash table of the values, so that the draws are not sorted
+    tasks = max(2 * max(4, spark.sparkContext.defaultParallelism), -(-n_draws // TASK_DRAWS))
+    draws = spark.range(n_draws, numPartitions=tasks).select((F.col("id") % n_boot + 1).alias("rep"), F.expr(f"id DIV {n_boot}").alias("k"))
+    in_x = F.col("k") < n_x
+    j = F.col("k") - F.when(in_x, 0).otherwise(n_x) + 1
+    number = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.when(in_x, "x").otherwise("y"), F.col("rep").cast("string"), j.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    draws = draws.select("rep", (F.when(in_x, number % n_x).otherwise(number % n_y + n_x) + 1).alias("key"))
+    got = draws.join(placed, "key")
     means = got.groupBy("rep").agg((F.avg(F.when(F.col("grp") == "x", F.col("v"))) - F.avg(F.when(F.col("grp") == "y", F.col("v")))).alias("d"))
     p = lambda q: F.round(F.percentile("d", F.lit(q)), 9)
     return means.agg(p(0.025).alias("low"), p(0.975).alias("high"))

@@ -1,5 +1,7 @@
+import hashlib
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +158,48 @@ def test_stats(spark):
     assert {r.metric: r.holm_p for r in h.collect()} == {"a": 0.04, "b": 0.04}
 
 
+def resampled(vals, n_boot, seed=43):
+    """The interval in plain Python; vals: (id, grp, v), a null id last."""
+    groups = {g: [v for _, _, v in sorted((r for r in vals if r[1] == g), key=lambda r: (hashlib.md5(r[0].encode()).hexdigest() if r[0] is not None else "g", r[0] or ""))] for g in "xy"}
+    d = []
+    for rep in range(1, n_boot + 1):
+        mean = {}
+        for g, v in groups.items():
+            drawn = [v[int(hashlib.md5(f"{seed}|{g}|{rep}|{j}".encode()).hexdigest()[:8], 16) % len(v)] for j in range(1, len(v) + 1)]
+            drawn = [x for x in drawn if x is not None]
+            mean[g] = sum(drawn) / len(drawn)
+        d.append(mean["x"] - mean["y"])
+    low, high = np.percentile(d, [2.5, 97.5])
+    return low, high
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_bootstrap_against_python(spark, broadcast_rows):
+    rng = random.Random(2)
+    vals = [(str(i) if i else None, "x" if i % 3 else "y", round(rng.random(), 3) if i % 7 else None) for i in range(200)] + [(None, "x", 0.9)]
+    df = spark.createDataFrame(vals, "id string, grp string, v double")
+    got = stats.bootstrap(df, 40, broadcast_rows=broadcast_rows).collect()
+    assert len(got) == 1 and tuple(got[0]) == pytest.approx(resampled(vals, 40), abs=1e-8)
+    for none in (df.limit(0), df.where("grp = 'x'"), df.where("grp = 'y'")):
+        assert [tuple(r) for r in stats.bootstrap(none, 40, broadcast_rows=broadcast_rows).collect()] == [(None, None)]
+
+
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_bootstrap_draws_stay_off_the_driver(spark, broadcast_rows):
+    n, n_boot = 2000, 50
+    vals = [(str(i), "x" if i % 3 else "y", i % 11 / 10) for i in range(n)]
+    df = stats.bootstrap(spark.createDataFrame(vals, "id string, grp string, v double"), n_boot, broadcast_rows=broadcast_rows)
+    assert tuple(df.collect()[0]) == pytest.approx(resampled(vals, n_boot), abs=1e-8)
+    sent, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            sent.append(p.metrics().apply("numOutputRows").value())
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().length())]
+    assert max(sent, default=0) <= n, sent
+
+
 def test_shares_sum_to_one(spark):
     m = spark.createDataFrame([("g", "change_specification", 3), ("g", "non_substantive", 1), ("h", "future_monitoring", 2)], "game string, primary_label string, words long")
     s = shares.label_shares(m, A.label_dim(spark))
